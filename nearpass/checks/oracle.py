@@ -452,9 +452,9 @@ sql("fireball_payloads", "", """
 LISTED = """
     SELECT c_custkey AS line_no, LOWER((1990 + c_custkey % 30) || 'AB' || c_custkey) AS key,
            (1990 + c_custkey % 30) || 'AB' || c_custkey AS esa_designation,
-           CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS esa_name, ROUND(ROUND(c_acctbal / 10.0e0, 2), 9) AS diameter_m,
+           CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS esa_name, ROUND(c_acctbal / 10.0e0, 9) AS diameter_m,
            c_custkey % 2 = 0 AS diameter_certain, '2044-11-08 17:08' AS vi_date, ROUND(c_nationkey / 1000.0e0, 9) AS ip_max,
-           ROUND(ROUND(c_acctbal / -1000.0e0, 3), 9) AS ps_max, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey % 3 END AS ts,
+           ROUND(c_acctbal / -1000.0e0, 9) AS ps_max, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey % 3 END AS ts,
            '2044-2049' AS years, -2.67e0 AS ps_cum
     FROM customer WHERE c_custkey % 50 NOT BETWEEN 1 AND 5"""
 
@@ -670,3 +670,62 @@ sql("run_stats", "ledger", """
 
 sql("latest_run_id", "", """
     SELECT MAX('run_' || strftime(o_orderdate, '%Y%m%d')) AS run_id FROM orders WHERE o_orderstatus = 'F'""")
+
+# --- envelopes and streams ------------------------------------------------------------------------------------
+
+# Rows per agency table: one orbit, risk and risk-list row per object whose
+# source is not on hold, and every approach record and fireball.
+PARTS = """
+    , held AS (SELECT asteroid_id, bool_or(source = 'JPL_SBDB') AS s, bool_or(source = 'JPL_Sentry') AS r,
+                      bool_or(source = 'JPL_CAD') AS c, bool_or(source = 'ESA_NEOCC') AS e FROM holds GROUP BY asteroid_id),
+    near AS (
+        SELECT DISTINCT o.asteroid_id, c.o_custkey, CAST(c.o_orderdate AS DATE) AS day, c.o_orderkey
+        FROM objects o LEFT JOIN held USING (asteroid_id) JOIN orders c ON CAST(c.o_custkey AS VARCHAR) = o.asteroid_id
+        WHERE held.c IS NOT TRUE),
+    counts AS (
+        SELECT 'sbdb' AS source, COUNT(*) AS count FROM orbit_hits LEFT JOIN held USING (asteroid_id) WHERE held.s IS NOT TRUE
+        UNION ALL SELECT 'sentry', COUNT(*) FROM objects LEFT JOIN held USING (asteroid_id) WHERE held.r IS NOT TRUE
+        UNION ALL SELECT 'cad', COUNT({cad}) FROM near
+        UNION ALL SELECT 'esa', COUNT(*) FROM objects LEFT JOIN held USING (asteroid_id) WHERE held.e IS NOT TRUE
+        UNION ALL SELECT 'fireball', COUNT(DISTINCT event_date) FROM fireball)
+    SELECT source, count FROM counts"""
+
+sql("envelope_route_counts", "orbit_hits holds fireball", PARTS.format(cad="*"))
+
+sql("stream_agencies", "orbit_hits holds fireball", PARTS.format(cad="DISTINCT (asteroid_id, day)"))
+
+sql("envelope_risk_rows", "objects holds sentry", """
+    , open_ AS (SELECT asteroid_id FROM objects ANTI JOIN (SELECT * FROM holds WHERE source = 'JPL_Sentry') USING (asteroid_id))
+    SELECT COALESCE(r.status, 'not_found') AS status, COUNT(*) AS n_rows, COUNT(DISTINCT o.asteroid_id) AS n_designations
+    FROM open_ o LEFT JOIN sentry r ON r.asteroid_id = o.asteroid_id AND r.status <> 'not_found' GROUP BY 1""")
+
+ROUNDS = """
+    SELECT close_approach_date, asteroid_id, name, CASE WHEN src_line = 2 THEN 'Moon' ELSE orbiting_body END AS orbiting_body,
+           epoch_date_close_approach, miss_distance_km, src_line, false AS moved FROM deduped
+    UNION ALL
+    SELECT close_approach_date, 'N' || asteroid_id, name, orbiting_body, epoch_date_close_approach, miss_distance_km, src_line, true
+    FROM deduped WHERE src_line = 1"""
+
+sql("stream_upsert", "deduped", f"""
+    SELECT close_approach_date, asteroid_id, name, orbiting_body, epoch_date_close_approach,
+           ROUND(miss_distance_km, 4) AS miss_distance_km FROM ({ROUNDS})""")
+
+sql("stream_history", "deduped", f"""
+    SELECT change_type, orbiting_body, COUNT(*) AS n_rows, COUNT(DISTINCT asteroid_id) AS n_objects FROM (
+        SELECT 'INSERT' AS change_type, CASE WHEN moved THEN orbiting_body ELSE 'Earth' END AS orbiting_body, asteroid_id
+        FROM ({ROUNDS})
+        UNION ALL SELECT 'UPDATE', orbiting_body, asteroid_id FROM ({ROUNDS}) WHERE src_line = 2)
+    GROUP BY 1, 2""")
+
+sql("ingest_metrics", "", """
+    WITH batches AS (
+        SELECT MIN(event_id) AS batch_id, COUNT(*) AS n, ROUND(SUM(value), 2) AS s, 1000000 - MIN(event_id) AS lag
+        FROM events GROUP BY date_trunc('hour', ts)),
+    totals AS (
+        SELECT CAST(SUM(n) AS BIGINT) AS n_messages, COUNT(*) AS n_batches, SUM(s) AS elapsed, MIN_BY(lag, batch_id) AS initial_lag,
+               MAX_BY(lag, batch_id) AS current_lag, SUM(n) / SUM(s) AS throughput FROM batches)
+    SELECT n_messages, n_batches, ROUND(elapsed, 4) AS elapsed_s, initial_lag, current_lag, ROUND(throughput, 4) AS throughput,
+           ROUND((SELECT AVG(s) FROM (SELECT s FROM batches ORDER BY batch_id DESC LIMIT 50)), 4) AS avg_batch_s,
+           ROUND(current_lag / throughput, 4) AS eta_s,
+           ROUND((1 - current_lag / (initial_lag + n_messages)) * 100, 4) AS progress_pct
+    FROM totals""")

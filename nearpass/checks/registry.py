@@ -7,6 +7,7 @@ order agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -20,11 +21,15 @@ from nearpass.operators import cascade, changes, keyed, lookup, resolve
 from nearpass.operators.zscore import zscore
 from nearpass.plans import metrics, profiles, search, watch, windows, worklist
 from nearpass.schemas import APPROACH
-from nearpass.session import configure
-from nearpass.sinks.publish import approach_key, to_keyed_json
+from nearpass.session import configure, shared_folder
+from nearpass.sinks import envelopes
+from nearpass.sinks.changelog import KeyedTable
+from nearpass.sinks.publish import approach_key, publish, to_keyed_json
 from nearpass.sources import approaches as feed
-from nearpass.sources import bridge, impact_risk, orbits, passages, risk_list, tables
+from nearpass.sources import agencies, bridge, impact_risk, orbits, passages, risk_list, tables
+from nearpass.sources.fireballs import parse_fireballs
 from nearpass.sources.matrix import zip_fields_rows
+from nearpass.streaming import agency_stream, approach_stream, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -543,8 +548,6 @@ def cad_designations(spark, d):
 
 @query
 def fireball_payloads(spark, d):
-    from nearpass.sources.fireballs import parse_fireballs
-
     e = bridge.table(spark, d, "events")
     cells = F.array(
         F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
@@ -570,11 +573,11 @@ def _risk_lines(spark, d):
     line = F.concat_ws(
         "|",
         F.when(n % 3 == 0, F.concat(designation, F.lit("   "), F.col("c_mktsegment"))).otherwise(F.concat(designation, F.lit("   "))),
-        F.concat(F.lit(" "), F.round(balance / 10.0, 2).cast("string"), F.lit(" ")),
+        F.concat(F.lit(" "), (balance / 10.0).cast("string"), F.lit(" ")),
         F.when(n % 2 == 0, F.lit("  *  ")).otherwise(F.lit("     ")),
         F.lit(" 2044-11-08 17:08 "),
         F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit("E-3 ")),
-        F.concat(F.lit(" "), F.round(balance / -1000.0, 3).cast("string"), F.lit(" ")),
+        F.concat(F.lit(" "), (balance / -1000.0).cast("string"), F.lit(" ")),
         F.when(n % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), (F.col("c_nationkey") % 3).cast("string"))),
         F.lit(" 21.01 "),
         F.lit(" 2044-2049 "),
@@ -943,3 +946,109 @@ def latest_run_id(spark, d):
                  F.date_format("o_orderdate", "yyyyMMdd")).alias("run_id")
     )
     return windows.latest_run(runs)
+
+
+# --- envelopes and streams ------------------------------------------------------------------------------------
+
+def _envelopes(spark, d):
+    active, removed, named, listed = _catalogues(spark, d)
+    found = resolve.resolve_profiles(
+        _objects(spark, d), bridge.orbits(spark, d), active, removed, named, listed,
+        resolve.active_holds(_fetch_statuses(spark, d), HOLDS_AS_OF),
+    )
+    keyed_active = active.withColumn("key", text.normalise_designation(F.col("designation")))
+    per_object = envelopes.build_envelopes(
+        found, bridge.orbits(spark, d), keyed_active, named, listed, WORK_AS_OF
+    )
+    return per_object.unionByName(envelopes.fireball_envelopes(bridge.fireballs(spark, d), WORK_AS_OF))
+
+
+def _route(spark, d):
+    # Written once and read by each table, as a topic would be.
+    folder = f"{_run_folder(spark)}/messages"
+    publish(envelopes.to_messages(_envelopes(spark, d)), "text", path=folder)
+    raw = spark.read.text(folder)
+    good, _ = feed.split_malformed(feed.parse_messages(raw, agencies.ENVELOPE_SCHEMA), "asteroid_id")
+    return agencies.route_envelope(good.select("d.*"))
+
+
+@query
+def envelope_route_counts(spark, d):
+    """Profiles resolved, put into envelopes, sent as JSON and routed to their tables."""
+    return metrics.table_counts(_route(spark, d))
+
+
+@query
+def envelope_risk_rows(spark, d):
+    return _route(spark, d)["sentry"].groupBy("status").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("designation").alias("n_designations")
+    )
+
+
+def _run_folder(spark) -> str:
+    return f"{shared_folder(spark)}/nearpass-{uuid.uuid4().hex}"
+
+
+def _streamed(spark, d) -> KeyedTable:
+    """Two rounds of messages through the approach stream, the second one after
+    a restart from the checkpoint."""
+    folder = _run_folder(spark)
+    table = KeyedTable(spark, f"{folder}/close_approaches", APPROACH).create()
+    kept = keyed.dedupe_approaches(bridge.approaches(spark, d))
+    again = kept.withColumns(
+        {
+            "asteroid_id": F.when(F.col("src_line") == 1, F.concat(F.lit("N"), "asteroid_id")).otherwise(F.col("asteroid_id")),
+            "orbiting_body": F.when(F.col("src_line") == 2, "Moon").otherwise(F.col("orbiting_body")),
+        }
+    )
+    for rows in (kept, again):
+        publish(to_keyed_json(feed.to_messages(rows), approach_key()), "text", path=f"{folder}/messages")
+        messages = feed.read_message_stream(spark, "text", path=f"{folder}/messages")
+        stream = approach_stream.start(
+            messages, table, f"{folder}/checkpoint", quarantine=f"{folder}/quarantine", once=True
+        )
+        stream.awaitTermination()
+    return table
+
+
+@query
+def stream_upsert(spark, d):
+    """The approach table after both rounds."""
+    current = _streamed(spark, d).current()
+    return tidy(
+        current.select(
+            "close_approach_date", "asteroid_id", "name", "orbiting_body", "epoch_date_close_approach",
+            F.col("miss_distance_km").cast("double").alias("miss_distance_km"),
+        ),
+        4,
+    )
+
+
+@query
+def stream_history(spark, d):
+    """What the rounds wrote, by kind of change and body."""
+    history = _streamed(spark, d).history()
+    return history.groupBy("change_type", "orbiting_body").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("asteroid_id").alias("n_objects")
+    )
+
+
+@query
+def stream_agencies(spark, d):
+    """Envelopes through the agency stream: rows of each table."""
+    folder = _run_folder(spark)
+    held = agency_stream.create_tables(spark, f"{folder}/tables")
+    publish(envelopes.to_messages(_envelopes(spark, d)), "text", path=f"{folder}/messages")
+    messages = feed.read_message_stream(spark, "text", path=f"{folder}/messages")
+    agency_stream.start(messages, held, f"{folder}/checkpoint", once=True).awaitTermination()
+    return metrics.table_counts({name: table.current() for name, table in held.items()})
+
+
+@query
+def ingest_metrics(spark, d):
+    """Backlog and throughput with the hours of the event table as batches."""
+    hours = bridge.table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n_messages"), F.round(F.sum("value"), 2).alias("seconds"), F.min("event_id").alias("batch_id")
+    )
+    batches = hours.select("batch_id", "n_messages", "seconds", (F.lit(1000000) - F.col("batch_id")).alias("lag"))
+    return tidy(progress.ingest_metrics(batches), 4)

@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 class Entity:
     """One keyed table.
 
-    `arrival` names the columns that order rows of the same key inside one
-    batch, newest last; `year_of` is the date column whose year partitions the
-    stored table.
+    `year_of` is the date column whose year partitions the stored table.
     """
 
     name: str
@@ -37,6 +35,10 @@ class Entity:
 
     def conform(self, df: DataFrame) -> DataFrame:
         """Project `df` to this entity: missing columns become their default."""
+        return self.conform_keeping(df, ())
+
+    def conform_keeping(self, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        """The same with the columns in `keep` in front, as they are."""
         present = set(df.columns)
 
         def column(name: str, kind: str) -> Column:
@@ -47,7 +49,7 @@ class Entity:
                 value = F.coalesce(value, F.lit(self.defaults[name]).cast(kind))
             return value.alias(name)
 
-        return df.select(*[column(name, kind) for name, kind in self.columns.items()])
+        return df.select(*keep, *[column(name, kind) for name, kind in self.columns.items()])
 
 
 def _columns(text: str) -> dict[str, str]:

@@ -45,19 +45,12 @@ def matrix_cells(payloads: DataFrame, names: Iterable[str], keep: Iterable[str]
     access per column.  A name the header lacks gives NULL.
     """
     names = list(names)
-    placed = payloads.select(
-        *keep,
-        F.struct(
-            *[
-                F.filter(
-                    F.transform("fields", lambda label, i, name=name: F.when(label == name, i)),
-                    lambda i: i.isNotNull(),
-                ).alias(name)
-                for name in names
-            ]
-        ).alias("places"),
-        "data",
-    )
+
+    def places(name: str) -> Column:
+        marked = F.transform("fields", lambda label, i: F.when(label == name, i))
+        return F.filter(marked, lambda i: i.isNotNull()).alias(name)
+
+    placed = payloads.select(*keep, F.struct(*[places(name) for name in names]).alias("places"), "data")
     rows = placed.select(*keep, "places", F.posexplode("data").alias("row_no", "cells"))
 
     def value(name: str) -> Column:
