@@ -7,7 +7,6 @@ order agree.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -21,7 +20,7 @@ from nearpass.operators import cascade, changes, keyed, lookup, resolve
 from nearpass.operators.zscore import zscore
 from nearpass.plans import metrics, profiles, search, watch, windows, worklist
 from nearpass.schemas import APPROACH
-from nearpass.session import configure, shared_folder
+from nearpass.session import configure, materialise, run_folder
 from nearpass.sinks import envelopes
 from nearpass.sinks.changelog import KeyedTable
 from nearpass.sinks.publish import approach_key, publish, to_keyed_json
@@ -958,14 +957,14 @@ def _envelopes(spark, d):
     )
     keyed_active = active.withColumn("key", text.normalise_designation(F.col("designation")))
     per_object = envelopes.build_envelopes(
-        found, bridge.orbits(spark, d), keyed_active, named, listed, WORK_AS_OF
+        materialise(found), bridge.orbits(spark, d), keyed_active, named, listed, WORK_AS_OF
     )
     return per_object.unionByName(envelopes.fireball_envelopes(bridge.fireballs(spark, d), WORK_AS_OF))
 
 
 def _route(spark, d):
     # Written once and read by each table, as a topic would be.
-    folder = f"{_run_folder(spark)}/messages"
+    folder = f"{run_folder(spark)}/messages"
     publish(envelopes.to_messages(_envelopes(spark, d)), "text", path=folder)
     raw = spark.read.text(folder)
     good, _ = feed.split_malformed(feed.parse_messages(raw, agencies.ENVELOPE_SCHEMA), "asteroid_id")
@@ -985,14 +984,10 @@ def envelope_risk_rows(spark, d):
     )
 
 
-def _run_folder(spark) -> str:
-    return f"{shared_folder(spark)}/nearpass-{uuid.uuid4().hex}"
-
-
 def _streamed(spark, d) -> KeyedTable:
     """Two rounds of messages through the approach stream, the second one after
     a restart from the checkpoint."""
-    folder = _run_folder(spark)
+    folder = run_folder(spark)
     table = KeyedTable(spark, f"{folder}/close_approaches", APPROACH).create()
     kept = keyed.dedupe_approaches(bridge.approaches(spark, d))
     again = kept.withColumns(
@@ -1036,7 +1031,7 @@ def stream_history(spark, d):
 @query
 def stream_agencies(spark, d):
     """Envelopes through the agency stream: rows of each table."""
-    folder = _run_folder(spark)
+    folder = run_folder(spark)
     held = agency_stream.create_tables(spark, f"{folder}/tables")
     publish(envelopes.to_messages(_envelopes(spark, d)), "text", path=f"{folder}/messages")
     messages = feed.read_message_stream(spark, "text", path=f"{folder}/messages")

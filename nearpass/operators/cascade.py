@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.operators.matching import first_containing
+from nearpass.session import materialise
 
 
 def identifier_cascade(
@@ -23,29 +24,37 @@ def identifier_cascade(
     with approaches by id or part of its name.  Inside a level the smallest id
     counts.  Only queries that levels 1 and 2 leave open reach the substring
     levels.
+
+    Two steps are written out, as several branches read them: the names of the
+    objects and the answers of the equality levels.
     """
     def exact(df: DataFrame, column: str, level: int) -> DataFrame:
         return df.select(F.col(column).alias(query), F.lit(level).alias("level"), "asteroid_id")
 
-    def best(hits: DataFrame) -> DataFrame:
-        picked = hits.groupBy(query).agg(F.min(F.struct("level", "asteroid_id")).alias("b"))
-        return picked.select(query, "b.level", "b.asteroid_id")
-
-    # The same text is looked up once, however often it is asked.
+    # The same text is looked up once, however often it is asked; one row per
+    # object and spelling, not one per approach.
     asked = queries.select(query).distinct()
-    sure = exact(orbits, "asteroid_id", 1).unionByName(exact(orbits, "designation", 2)).unionByName(exact(orbits, "spkid", 2))
-    settled = best(asked.join(sure, query))
-
-    open_queries = asked.join(settled.select(query), query, "left_anti")
-    # One row per object and spelling, not one per approach.
-    named = approaches.select("asteroid_id", "name").distinct()
-    likely = exact(risks, "designation", 3).unionByName(exact(named, "asteroid_id", 4))
-    by_key = open_queries.join(likely, query)
+    named = materialise(approaches.select("asteroid_id", "name").distinct())
+    keys = (
+        exact(orbits, "asteroid_id", 1)
+        .unionByName(exact(orbits, "designation", 2))
+        .unionByName(exact(orbits, "spkid", 2))
+        .unionByName(exact(risks, "designation", 3))
+        .unionByName(exact(named, "asteroid_id", 4))
+    )
+    by_key = materialise(
+        asked.join(keys, query, "left")
+        .groupBy(query)
+        .agg(F.min(F.when(F.col("level").isNotNull(), F.struct("level", "asteroid_id"))).alias("k"))
+    )
+    open_queries = by_key.filter(F.coalesce(F.col("k.level"), F.lit(9)) > 2)
     labels = (
         risks.select(F.lit(3).alias("level"), "asteroid_id", F.col("fullname").alias("label"))
         .unionByName(named.select(F.lit(4).alias("level"), "asteroid_id", F.col("name").alias("label")))
         .filter(F.col("label").isNotNull())
     )
-    by_part = first_containing(labels, open_queries, "label", query, ("level", "asteroid_id"), wildcards)
-    guessed = best(by_key.unionByName(by_part))
-    return queries.join(settled.unionByName(guessed), query, "left").select(*queries.columns, "level", "asteroid_id")
+    by_part = first_containing(labels, open_queries, "label", query, ("level", "asteroid_id"), wildcards).select(
+        query, F.struct("level", "asteroid_id").alias("p")
+    )
+    found = by_key.join(by_part, query, "left").select(query, F.least("k", "p").alias("b"))
+    return queries.join(found, query, "left").select(*queries.columns, "b.level", "b.asteroid_id")

@@ -44,61 +44,54 @@ def _literal_parts(pattern: Column, wildcards: bool) -> Column:
     return longest["run"]
 
 
-def substring_pairs(
-    texts: DataFrame, queries: DataFrame, text: str, query: str, query_id: str, wildcards: bool = True
+def _pieces(text: str) -> Column:
+    """What a text can be met on: its pieces of one to three letters and nothing."""
+    sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
+    return F.array_append(_grams(F.lower(text), sizes), F.lit(""))
+
+
+def first_containing(
+    texts: DataFrame, queries: DataFrame, text: str, query: str, order: tuple[str, ...], wildcards: bool = True
 ) -> DataFrame:
-    """(columns of `texts`, query_id) for each text that contains a query,
-    whatever the case.
+    """Per distinct query the smallest `order` columns among the texts that
+    contain it, whatever the case; queries no text contains are absent.
 
     A text that contains a query contains each of its three-letter pieces, so
     texts and queries meet in an equality join on the query's rarest piece and
     only those pairs are compared.  Queries shorter than three letters meet on
-    what they have; one without any letter meets every text.
+    what they have; one without any letter meets every text.  A query of at
+    most three plain letters is itself a piece: the smallest text per piece
+    answers it and no pair is formed.
     """
-    wanted = queries.select(*dict.fromkeys([query_id, query]), _literal_parts(F.col(query), wildcards).alias("__lit"))
-    size = F.least(F.length("__lit"), F.lit(GRAM))
-    keep = list(dict.fromkeys([query_id, query]))
-    parts = wanted.select(
-        *keep,
-        F.explode(
-            F.when(F.length("__lit") > 0, _grams(F.col("__lit"), F.array(size))).otherwise(F.array(F.lit("")))
-        ).alias("gram"),
+    wild = F.col(query).rlike(r"[%_\\]") if wildcards else F.lit(False)
+    asked = queries.select(query).distinct().select(
+        query,
+        ((F.length(query) <= GRAM) & ~wild).alias("brief"),
+        _literal_parts(F.col(query), wildcards).alias("lit"),
     )
-    pieces = F.array_append(_grams(F.lower(text), F.array(*[F.lit(n) for n in range(1, GRAM + 1)])), F.lit(""))
-    used = parts.select("gram").distinct()
-    spread = texts.select("*", F.explode(pieces).alias("gram")).join(used, "gram", "left_semi")
-    frequency = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # A piece no text has rules its query out, hence the left join and the 0.
+    size = F.least(F.length("lit"), F.lit(GRAM))
+    parts = asked.select(
+        query,
+        "brief",
+        F.explode(F.when(size > 0, _grams(F.col("lit"), F.array(size))).otherwise(F.array(F.lit("")))).alias("gram"),
+    )
+    spread = texts.select(*order, text, F.explode(_pieces(text)).alias("gram")).join(
+        parts.select("gram").distinct(), "gram", "left_semi"
+    )
+    best = F.min(F.struct(*order)).alias("best")
+    per_piece = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), best)
+    # A piece that no text has rules its query out, hence the left join and the 0.
     anchors = (
-        parts.join(frequency, "gram", "left")
-        .groupBy(*keep)
-        .agg(F.min(F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "gram")).alias("a"))
+        parts.join(per_piece, "gram", "left")
+        .groupBy(query, "brief")
+        .agg(F.min(F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "gram", "best")).alias("a"))
         .filter(F.col("a.n") > 0)
-        .select(*keep, F.col("a.gram").alias("gram"))
+        .select(query, "brief", "a.gram", "a.best")
     )
+    answered = anchors.filter("brief").select(query, "best")
     plain = F.contains(F.lower(text), F.lower(query))
     # A backslash that escapes nothing is left out, as LIKE would reject it.
     pattern = like_pattern(F.regexp_replace(query, r"\\(?![%_\\]|$)", ""))
-    matches = F.when(F.col(query).rlike(r"[%_\\]"), F.ilike(F.col(text), pattern)).otherwise(plain)
-    pairs = spread.join(anchors, "gram").filter(matches if wildcards else plain)
-    return pairs.select(*texts.columns, query_id)
-
-
-def first_containing(
-    texts: DataFrame, queries: DataFrame, text: str, query: str, order: tuple[str, ...], wildcards: bool = True
-) -> DataFrame:
-    """Per distinct query the smallest `order` columns among the texts that contain it.
-
-    A query of at most three plain letters is itself a piece, so the smallest
-    text per piece answers it and no pair is ever formed.
-    """
-    asked = queries.select(query).distinct()
-    wild = F.col(query).rlike(r"[%_\\]") if wildcards else F.lit(False)
-    short = (F.length(query) <= GRAM) & ~wild
-    best = F.min(F.struct(*order)).alias("best")
-    brief = asked.filter(short).select(query, F.lower(query).alias("gram"))
-    pieces = F.array_append(_grams(F.lower(text), F.array(*[F.lit(n) for n in range(1, GRAM + 1)])), F.lit(""))
-    by_piece = texts.select(*order, F.explode(pieces).alias("gram")).groupBy("gram").agg(best)
-    answered = brief.join(by_piece, "gram").select(query, "best")
-    pairs = substring_pairs(texts, asked.filter(~short), text, query, query, wildcards)
+    matches = F.when(wild, F.ilike(F.col(text), pattern)).otherwise(plain)
+    pairs = spread.join(anchors.filter(~F.col("brief")).select(query, "gram"), "gram").filter(matches)
     return answered.unionByName(pairs.groupBy(query).agg(best)).select(query, "best.*")

@@ -103,10 +103,9 @@ def risk_list_refs(risk_list: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 def resolve_orbits(objects: DataFrame, index: DataFrame, enabled: Column | None = None) -> DataFrame:
     """`objects` (with candidates) plus `sbdb`: the matching orbit reference or NULL."""
-    found = lookup_first(
+    return lookup_first(
         objects, index, {"sbdb": ORBIT_FORMS}, enabled={"sbdb": enabled} if enabled is not None else None
     )
-    return objects.join(found, "asteroid_id", "left")
 
 
 def extended_candidates(candidates: Column, orbit: Column) -> Column:
@@ -184,7 +183,7 @@ def resolve_profiles(
         F.when(exact.isNull(), bare).when(bare.isNull(), exact).when(bare["pos"] < exact["pos"], bare).otherwise(exact)
     )
     first_try = F.get("candidates", F.lit(0))
-    return extended.join(found, "asteroid_id", "left").select(
+    return found.select(
         "asteroid_id",
         "name",
         "candidates",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on or profits from; all can be set at run time.
 RUNTIME_SETTINGS = {
@@ -25,7 +26,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g", shared: str | None = None
+) -> SparkSession:
     """A session for tests and the benchmark; on a cluster use `configure`."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -34,6 +37,8 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for name, value in RUNTIME_SETTINGS.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
@@ -41,14 +46,36 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in
+    `spark.checkpoint.dir`.
 
-    Only a session without `spark.checkpoint.dir` (a test on one machine) gets
-    a folder of its own, which is then recorded in the session.
+    Only a session without that setting (a test on one machine) gets a folder
+    of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="nearpass-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        folder = _own_folders.get(application) or tempfile.mkdtemp(prefix="nearpass-")
+        _own_folders[application] = folder
     return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A new folder for one run inside the shared one."""
+    return f"{shared_folder(spark)}/nearpass-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """The same rows out of a table written to the shared folder.
+
+    Cuts a plan that several branches would each compute anew; the table is
+    there for every executor and outlives any of them.
+    """
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
