@@ -103,7 +103,8 @@ def parse_removed(payloads: DataFrame, order: tuple[str, ...] = ()) -> DataFrame
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"designation STRING, {OBJECT_SCHEMA}").json(path)
+    """Single-object documents, one per line, with the designation asked for."""
+    return parse_objects(spark.read.schema(f"designation STRING, {OBJECT_SCHEMA}").json(path))
 
 
 def parse_objects(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
