@@ -213,10 +213,10 @@ def _profile_documents(spark, d):
 @query
 def profile_document(spark, d):
     """Facts read back out of the nested documents' JSON text."""
-    documents = profiles.to_json_documents(_profile_documents(spark, d))
+    documents = profiles.to_json_documents(_profile_documents(spark, d)).withColumn("v", F.parse_json("document"))
 
     def at(path: str) -> Column:
-        return F.get_json_object("document", path)
+        return F.try_variant_get("v", path, "string")
 
     return documents.select(
         "asteroid_id",
@@ -229,7 +229,7 @@ def profile_document(spark, d):
         at("$.agencies.jpl_cad.count").cast("bigint").alias("n_passages"),
         at("$.agencies.jpl_cad.approaches[0].date").alias("last_passage"),
         at("$.agencies.esa_neocc.designation").alias("esa_designation"),
-        at("$.agencies.esa_neocc").isNotNull().alias("has_esa"),
+        F.try_variant_get("v", "$.agencies.esa_neocc", "variant").isNotNull().alias("has_esa"),
     )
 
 
@@ -368,8 +368,12 @@ def row_hashes(spark, d):
 
 # --- readers --------------------------------------------------------------------------------
 
+def _parsed(texts: DataFrame, schema: str, *keep: str) -> DataFrame:
+    return feed.parse_messages(texts, schema).select(*keep, "d.*")
+
+
 def _approach_messages(spark, d):
-    return feed.to_messages(bridge.approaches(spark, d))
+    return feed.to_messages(bridge.approaches(spark, d, heavy=True))
 
 
 @query
@@ -397,8 +401,7 @@ def feed_documents(spark, d):
     documents = messages.select(
         F.to_json(F.struct(F.create_map("date", F.array("asteroid")).alias("near_earth_objects"))).alias("value")
     )
-    parsed = documents.select(F.from_json("value", feed.FEED_SCHEMA).alias("d")).select("d.*")
-    back = feed.flatten_messages(feed.feed_to_messages(parsed))
+    back = feed.flatten_messages(feed.feed_to_messages(_parsed(documents, feed.FEED_SCHEMA)))
     return back.groupBy(F.col("close_approach_date").cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("n_messages"), F.count_distinct("asteroid_id").alias("n_objects")
     )
@@ -509,7 +512,7 @@ def sbdb_documents(spark, d):
         ).alias("phys_par"),
     )
     texts = bridge.table(spark, d, "part").select(F.to_json(document).alias("value"))
-    parsed = orbits.parse_objects(texts.select(F.from_json("value", orbits.DOCUMENT_SCHEMA).alias("d")).select("d.*"))
+    parsed = orbits.parse_objects(_parsed(texts, orbits.DOCUMENT_SCHEMA))
     return tidy(
         parsed.select(
             "designation", "spkid", "orbit_id", "is_neo", "is_pha", "orbit_class", "orbit_class_name", "des_alt",
@@ -629,7 +632,7 @@ def sentry_active(spark, d):
         F.lit("12.0").alias("n_imp"),
     )
     texts = s.select(F.to_json(F.struct(F.array(entry).alias("data"))).alias("value"))
-    parsed = impact_risk.parse_active(texts.select(F.from_json("value", impact_risk.ACTIVE_SCHEMA).alias("d")).select("d.*"))
+    parsed = impact_risk.parse_active(_parsed(texts, impact_risk.ACTIVE_SCHEMA))
     return tidy(
         parsed.select("designation", "status", "fullname", "impact_probability", "torino_scale", "palermo_scale_cum", "n_impacts")
     )
@@ -662,7 +665,7 @@ def sentry_documents(spark, d):
         ).alias("summary"),
     )
     texts = bridge.table(spark, d, "supplier").select(F.col("s_name").alias("designation"), F.to_json(document).alias("value"))
-    parsed = texts.select("designation", F.from_json("value", impact_risk.OBJECT_SCHEMA).alias("d")).select("designation", "d.*")
+    parsed = _parsed(texts, impact_risk.OBJECT_SCHEMA, "designation")
     return tidy(
         impact_risk.parse_objects(parsed).select("designation", "status", "impact_probability", "n_obs", "removed_date")
     )
@@ -990,6 +993,7 @@ def _streamed(spark, d) -> KeyedTable:
     folder = run_folder(spark)
     table = KeyedTable(spark, f"{folder}/close_approaches", APPROACH).create()
     kept = keyed.dedupe_approaches(bridge.approaches(spark, d))
+    # Both rounds start from the same table.
     again = kept.withColumns(
         {
             "asteroid_id": F.when(F.col("src_line") == 1, F.concat(F.lit("N"), "asteroid_id")).otherwise(F.col("asteroid_id")),

@@ -75,13 +75,18 @@ def read_message_stream(spark: SparkSession, fmt: str, per_trigger: int | None =
 
 
 def parse_messages(raw: DataFrame, schema: str = MESSAGE_SCHEMA, value: str = "value") -> DataFrame:
-    """Add the parsed struct `d` and, for text that is not valid JSON of the
-    given layout, the text itself in `_corrupt_record`."""
+    """Add the parsed struct `d`; its `_corrupt_record` holds the text itself
+    where that is not valid JSON of the given layout.
+
+    The struct comes out of an explode of one element: filters and projections
+    on its fields stay above that step, so a message is parsed once and not
+    once per use.
+    """
     with_corrupt = f"{schema}, {CORRUPT} STRING"
     parsed = F.from_json(
         F.col(value).cast("string"), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
-    return raw.withColumn("d", parsed)
+    return raw.select("*", F.explode_outer(F.array(parsed)).alias("d"))
 
 
 def split_malformed(parsed: DataFrame, required: str, value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -29,13 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores, dealt out over all cores
+    for work that is heavy per row.  A table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def provisional(number: Column) -> Column:
     """An invented provisional designation, e.g. `2003 AB13`."""
     return F.concat((number % 30 + 1990).cast("string"), F.lit(" AB"), number.cast("string"))
 
 
-def approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def approaches(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     item, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    item = spread(item) if heavy else item
     object_id = F.col("l_partkey").cast("string")
     return item.join(part, item.l_partkey == part.p_partkey).select(
         F.to_date("l_shipdate").alias("close_approach_date"),
