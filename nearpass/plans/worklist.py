@@ -15,19 +15,28 @@ BATCH_LIMIT = 2000
 # --- end of fixed values --------------------------------------------------------------
 
 
+def last_seen(orbits: DataFrame, seen: str = "ingestion_time", checks: DataFrame | None = None) -> DataFrame:
+    """When each object's orbit was last written or, by the fetch ledger in
+    `checks`, last looked at."""
+    known = orbits.select("asteroid_id", F.col(seen).alias("last_seen"))
+    if checks is None:
+        return known
+    looked = checks.groupBy("asteroid_id").agg(F.max("last_checked_at").alias("looked_at"))
+    return known.join(looked, "asteroid_id", "left").select(
+        "asteroid_id", F.greatest("last_seen", "looked_at").alias("last_seen")
+    )
+
+
+def _is_stale(as_of: datetime | Column) -> Column:
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    return F.col("last_seen") < now - F.lit(STALE_AFTER)
+
+
 def stale_objects(
     orbits: DataFrame, as_of: datetime | Column, seen: str = "ingestion_time", checks: DataFrame | None = None
 ) -> DataFrame:
-    """Objects whose orbit was last written (or, by the fetch ledger in
-    `checks`, last looked at) more than seven days before `as_of`."""
-    limit = (as_of if isinstance(as_of, Column) else F.lit(as_of)) - F.lit(STALE_AFTER)
-    known = orbits.select("asteroid_id", F.col(seen).alias("last_seen"))
-    if checks is not None:
-        looked = checks.groupBy("asteroid_id").agg(F.max("last_checked_at").alias("looked_at"))
-        known = known.join(looked, "asteroid_id", "left").select(
-            "asteroid_id", F.greatest("last_seen", "looked_at").alias("last_seen")
-        )
-    return known.filter(F.col("last_seen") < limit)
+    """Objects last seen more than seven days before `as_of`."""
+    return last_seen(orbits, seen, checks).filter(_is_stale(as_of))
 
 
 def never_profiled(approaches: DataFrame, orbits: DataFrame) -> DataFrame:
@@ -46,20 +55,18 @@ def refresh_worklist(
     """Stale objects, oldest first, then objects never profiled, up to one
     shared limit, each with the name of its latest approach.
 
-    The list is cut before names are looked up: names are then gathered for at
-    most `limit` objects, and that list is small enough to broadcast.
+    One aggregate of the approaches gives both the objects and their names; a
+    full join with the orbits tells the two kinds of work apart.
     """
-    stale = stale_objects(orbits, as_of, seen, checks).withColumn("priority", F.lit(0))
-    new = never_profiled(approaches, orbits).withColumn("priority", F.lit(1))
-    work = (
-        stale.unionByName(new, allowMissingColumns=True)
+    known = last_seen(orbits, seen, checks).withColumn("has_orbit", F.lit(True))
+    everything = object_names(approaches).join(known, "asteroid_id", "full")
+    priority = F.when(F.col("has_orbit").isNull(), 1).when(_is_stale(as_of), 0)
+    return (
+        everything.select("asteroid_id", "name", priority.alias("priority"), "last_seen")
+        .filter(F.col("priority").isNotNull())
         .orderBy("priority", F.col("last_seen").asc_nulls_last(), "asteroid_id")
         .limit(limit)
     )
-    names = object_names(approaches.join(work.select("asteroid_id"), "asteroid_id", "left_semi"))
-    return work.join(names, "asteroid_id", "left").orderBy(
-        "priority", F.col("last_seen").asc_nulls_last(), "asteroid_id"
-    )
 
 
 def status_breakdown(statuses: DataFrame) -> DataFrame:
