@@ -729,3 +729,46 @@ sql("ingest_metrics", "", """
            ROUND(current_lag / throughput, 4) AS eta_s,
            ROUND((1 - current_lag / (initial_lag + n_messages)) * 100, 4) AS progress_pct
     FROM totals""")
+
+# --- stored tables ------------------------------------------------------------------------------------------------
+
+sql("stored_scan", "deduped", """
+    SELECT close_approach_date, asteroid_id, name, ROUND(miss_distance_km, 4) AS miss_distance_km FROM deduped
+    WHERE close_approach_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""")
+
+sql("status_ledger", "last_statuses", " SELECT asteroid_id, source, status_code, last_failure_type FROM last_statuses")
+
+sql("window_ledger_table", "ledger", """
+    SELECT CASE any_key % 5 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'SUCCESS' WHEN 2 THEN 'SKIPPED'
+                WHEN 3 THEN CASE WHEN attempt = 1 THEN 'PENDING' ELSE 'FAILED' END ELSE 'FAILED' END AS status,
+           CAST(attempt AS INTEGER) AS attempt, COUNT(*) AS n_windows,
+           CAST(SUM(CASE WHEN any_key % 5 < 2 THEN records ELSE 0 END) AS BIGINT) AS n_records
+    FROM ledger GROUP BY 1, 2""")
+
+sql("stale_objects", "sbdb", """
+    SELECT asteroid_id, ingestion_date AS last_seen FROM sbdb WHERE ingestion_date < DATE '2024-01-18'""")
+
+sql("distinct_objects", "approaches", " SELECT DISTINCT asteroid_id FROM approaches")
+
+sql("sql_views", "approaches sbdb sentry esa cad fireball", f"""
+    , z AS (SELECT close_approach_date AS day, COALESCE(estimated_diameter_km_max, estimated_diameter_km_min) AS d,
+                   relative_velocity_km_s AS v, miss_distance_km AS m FROM approaches),
+    w AS (SELECT AVG(d) AS da, STDDEV_POP(d) AS ds, AVG(v) AS va, STDDEV_POP(v) AS vs, AVG(m) AS ma, STDDEV_POP(m) AS ms FROM z)
+    SELECT 'days' AS what, COUNT(DISTINCT day) AS n,
+           COUNT(*) FILTER (WHERE ABS((d - da) / ds) > 2 OR ABS((v - va) / vs) > 2 OR ABS((m - ma) / ms) > 2) AS total
+    FROM z CROSS JOIN w
+    UNION ALL
+    SELECT 'profiles', COUNT(*), COUNT(e.on_risk_list) FROM ({LATEST}) n LEFT JOIN sbdb s USING (asteroid_id)
+    LEFT JOIN esa e ON e.asteroid_id = n.asteroid_id OR LOWER(e.esa_designation) = LOWER(s.designation)
+    UNION ALL
+    SELECT 'watched', COUNT(*), COUNT(palermo_scale_cum) FROM sentry WHERE status = 'active'
+    UNION ALL
+    SELECT 'passages', COUNT(*), COUNT(*) FILTER (WHERE r.status = 'active') FROM cad c
+    LEFT JOIN sentry r ON r.asteroid_id = c.asteroid_id LEFT JOIN sbdb s ON s.asteroid_id = c.asteroid_id
+    LEFT JOIN esa e ON e.asteroid_id = c.asteroid_id OR LOWER(e.esa_designation) = LOWER(s.designation)
+    UNION ALL
+    SELECT 'classes', COUNT(*), CAST(SUM(n) AS BIGINT) FROM (
+        SELECT COUNT(*) FILTER (WHERE is_pha) AS n FROM sbdb WHERE orbit_class IS NOT NULL
+        GROUP BY orbit_class, CASE WHEN orbit_class = 'XXX' THEN COALESCE(NULLIF(orbit_class_name, ''), 'XXX') ELSE 'known' END)
+    UNION ALL
+    SELECT 'years', COUNT(DISTINCT YEAR(event_date)), COUNT(*) FROM fireball""")

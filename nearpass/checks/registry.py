@@ -18,11 +18,12 @@ from nearpass.functions.fetches import classify_fetches
 from nearpass.functions.hashing import row_hash
 from nearpass.operators import cascade, changes, keyed, lookup, resolve
 from nearpass.operators.zscore import zscore
-from nearpass.plans import metrics, profiles, search, watch, windows, worklist
-from nearpass.schemas import APPROACH
+from nearpass.plans import metrics, profiles, search, views, watch, windows, worklist
+from nearpass.schemas import APPROACH, FETCH_STATUS, ORBIT, PASSAGE, RISK, RISK_LIST, WINDOW_LEDGER
 from nearpass.session import configure, materialise, run_folder
 from nearpass.sinks import envelopes
 from nearpass.sinks.changelog import KeyedTable
+from nearpass.sinks.chunks import write_chunked
 from nearpass.sinks.publish import approach_key, publish, to_keyed_json
 from nearpass.sources import approaches as feed
 from nearpass.sources import agencies, bridge, impact_risk, orbits, passages, risk_list, tables
@@ -154,7 +155,7 @@ def latest_approach(spark, d):
 
 @query
 def dedupe_approaches(spark, d):
-    kept = keyed.dedupe_approaches(bridge.approaches(spark, d))
+    kept = keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True))
     return tidy(kept.select("close_approach_date", "asteroid_id", "epoch_date_close_approach", "miss_distance_km"), 4)
 
 
@@ -802,13 +803,13 @@ HASHED = ["close_approach_date", "asteroid_id", "orbiting_body", "epoch_date_clo
 
 
 def _stored(spark, d):
-    kept = keyed.dedupe_approaches(bridge.approaches(spark, d)).select(*HASHED, "src_line")
+    kept = keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True)).select(*HASHED, "src_line")
     return kept.withColumn("row_hash", row_hash(HASHED))
 
 
 def _incoming(spark, d):
     """The stored rows again: some under a new id, some with another body."""
-    kept = keyed.dedupe_approaches(bridge.approaches(spark, d)).select(*HASHED, "src_line")
+    kept = keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True)).select(*HASHED, "src_line")
     moved = kept.withColumns(
         {
             "asteroid_id": F.when(F.col("src_line") == 1, F.concat(F.lit("N"), "asteroid_id")).otherwise(F.col("asteroid_id")),
@@ -992,7 +993,7 @@ def _streamed(spark, d) -> KeyedTable:
     a restart from the checkpoint."""
     folder = run_folder(spark)
     table = KeyedTable(spark, f"{folder}/close_approaches", APPROACH).create()
-    kept = keyed.dedupe_approaches(bridge.approaches(spark, d))
+    kept = keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True))
     # Both rounds start from the same table.
     again = kept.withColumns(
         {
@@ -1051,3 +1052,81 @@ def ingest_metrics(spark, d):
     )
     batches = hours.select("batch_id", "n_messages", "seconds", (F.lit(1000000) - F.col("batch_id")).alias("lag"))
     return tidy(progress.ingest_metrics(batches), 4)
+
+
+# --- stored tables ------------------------------------------------------------------------------------------------
+
+@query
+def stored_scan(spark, d):
+    """The approach table written in yearly folders and read back between two dates."""
+    path = f"{run_folder(spark)}/close_approaches"
+    write_chunked(APPROACH.conform(keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True))), path, "close_approach_date")
+    stored = tables.read_table(spark, path, APPROACH, DATE_MIN, DATE_MAX)
+    return tidy(
+        stored.select(
+            "close_approach_date", "asteroid_id", "name", F.col("miss_distance_km").cast("double").alias("miss_distance_km")
+        ),
+        4,
+    )
+
+
+@query
+def status_ledger(spark, d):
+    """The fetch-status ledger after the responses of two half months."""
+    ledger = KeyedTable(spark, f"{run_folder(spark)}/fetch_status", FETCH_STATUS).create()
+    responses = bridge.fetches(spark, d)
+    first = F.col("checked_at") < F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
+    for number, part in enumerate((responses.filter(first), responses.filter(~first))):
+        last = keyed.dedupe_last(part, FETCH_STATUS.keys, ["checked_at", "event_id"])
+        ledger.apply(FETCH_STATUS.conform(classify_fetches(last)), number)
+    return ledger.current().select("asteroid_id", "source", "status_code", "last_failure_type")
+
+
+@query
+def window_ledger_table(spark, d):
+    """The window ledger as planned and after its outcomes."""
+    table = KeyedTable(spark, f"{run_folder(spark)}/window_ledger", WINDOW_LEDGER).create()
+    known = bridge.window_ledger(spark, d)
+    table.apply(WINDOW_LEDGER.conform(known), 0)
+    rows, _ = windows.apply_outcomes(table.current(), _outcomes(spark, d), WINDOWS_AS_OF)
+    table.apply(rows, 1)
+    return table.current().groupBy("status", "attempt").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.sum("records").alias("n_records")
+    )
+
+
+@query
+def stale_objects(spark, d):
+    return worklist.stale_objects(bridge.orbits(spark, d), WORK_AS_OF, "ingestion_date")
+
+
+@query
+def distinct_objects(spark, d):
+    return bridge.approaches(spark, d).select("asteroid_id").distinct()
+
+
+@query
+def sql_views(spark, d):
+    """Tables and views under names, queried in SQL."""
+    fireballs = bridge.fireballs(spark, d)
+    views.register(
+        {
+            "close_approaches": bridge.approaches(spark, d),
+            "agency_sbdb": ORBIT.conform(bridge.orbits(spark, d)),
+            "agency_sentry": RISK.conform(bridge.risks(spark, d)),
+            "agency_esa": RISK_LIST.conform(bridge.risk_list(spark, d)),
+            "agency_cad": PASSAGE.conform(bridge.passages(spark, d)),
+            "fireball_events": fireballs,
+        },
+        "np_",
+    )
+    return spark.sql(
+        """
+        SELECT 'days' AS what, COUNT(*) AS n, SUM(anomaly_count) AS total FROM np_daily_metrics
+        UNION ALL SELECT 'profiles', COUNT(*), COUNT(esa_on_risk_list) FROM np_asteroid_profile
+        UNION ALL SELECT 'watched', COUNT(*), COUNT(palermo_scale_cum) FROM np_sentry_watchlist
+        UNION ALL SELECT 'passages', COUNT(*), COUNT_IF(on_sentry_watchlist) FROM np_cad_upcoming
+        UNION ALL SELECT 'classes', COUNT(*), SUM(pha_count) FROM np_orbit_class_dist
+        UNION ALL SELECT 'years', COUNT(*), SUM(event_count) FROM np_fireball_annual
+        """
+    )

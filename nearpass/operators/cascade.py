@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.operators.matching import first_containing
-from nearpass.session import materialise
+from nearpass.session import materialise, spread
 
 
 def identifier_cascade(
@@ -34,7 +34,7 @@ def identifier_cascade(
     # The same text is looked up once, however often it is asked; one row per
     # object and spelling, not one per approach.
     asked = queries.select(query).distinct()
-    named = materialise(approaches.select("asteroid_id", "name").distinct())
+    named = spread(materialise(approaches.select("asteroid_id", "name").distinct()))
     keys = (
         exact(orbits, "asteroid_id", 1)
         .unionByName(exact(orbits, "designation", 2))

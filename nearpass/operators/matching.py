@@ -73,6 +73,7 @@ def first_containing(
     parts = asked.select(
         query,
         "brief",
+        "lit",
         F.explode(F.when(size > 0, _grams(F.col("lit"), F.array(size))).otherwise(F.array(F.lit("")))).alias("gram"),
     )
     spread = texts.select(*order, text, F.explode(_pieces(text)).alias("gram")).join(
@@ -83,15 +84,15 @@ def first_containing(
     # A piece that no text has rules its query out, hence the left join and the 0.
     anchors = (
         parts.join(per_piece, "gram", "left")
-        .groupBy(query, "brief")
+        .groupBy(query, "brief", "lit")
         .agg(F.min(F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "gram", "best")).alias("a"))
         .filter(F.col("a.n") > 0)
-        .select(query, "brief", "a.gram", "a.best")
+        .select(query, "brief", "lit", "a.gram", "a.best")
     )
     answered = anchors.filter("brief").select(query, "best")
-    plain = F.contains(F.lower(text), F.lower(query))
     # A backslash that escapes nothing is left out, as LIKE would reject it.
     pattern = like_pattern(F.regexp_replace(query, r"\\(?![%_\\]|$)", ""))
-    matches = F.when(wild, F.ilike(F.col(text), pattern)).otherwise(plain)
-    pairs = spread.join(anchors.filter(~F.col("brief")).select(query, "gram"), "gram").filter(matches)
+    # The literal run settles plain queries and keeps most other pairs from the pattern.
+    matches = F.contains(F.lower(text), F.col("lit")) & F.when(wild, F.ilike(F.col(text), pattern)).otherwise(True)
+    pairs = spread.join(anchors.filter(~F.col("brief")).select(query, "lit", "gram"), "gram").filter(matches)
     return answered.unionByName(pairs.groupBy(query).agg(best)).select(query, "best.*")

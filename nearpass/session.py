@@ -79,3 +79,10 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{run_folder(spark)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a stored table with fewer splits than cores, dealt out over all
+    cores for work that is heavy per row.  A table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearpass.session import spread
+
 
 # Known layouts; naming them saves the job that reads file footers for a schema.
 LAYOUTS = {
@@ -29,13 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than cores, dealt out over all cores
-    for work that is heavy per row.  A table of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def provisional(number: Column) -> Column:
     """An invented provisional designation, e.g. `2003 AB13`."""
     return F.concat((number % 30 + 1990).cast("string"), F.lit(" AB"), number.cast("string"))

@@ -332,6 +332,15 @@ def test_no_python_workers_or_nested_loops(spark, small):
             assert word not in plan, (name, word)
 
 
+def test_views_by_name(spark, small):
+    import __spark_entry__ as driver
+    from nearpass.plans import views
+
+    rows = driver.queries()["sql_views"](spark, small).collect()
+    assert {r.what for r in rows} == {"days", "profiles", "watched", "passages", "classes", "years"}
+    assert set(views.TABLES) >= {"close_approaches", "agency_cad"}
+
+
 def test_documents_leave_out_absent_agencies(spark):
     empty = lambda ddl: spark.createDataFrame([], ddl)
     passages = spark.createDataFrame([("1", dt.date(2000, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(60)], "asteroid_id STRING, approach_date DATE, distance_au DOUBLE")
@@ -342,3 +351,37 @@ def test_documents_leave_out_absent_agencies(spark):
     assert row.agencies.jpl_cad["count"] == 50 and row.agencies.jpl_cad.approaches[0].date == "2000-02-29"
     text = profiles.to_json_documents(documents).first().document
     assert "jpl_sbdb" not in text and "jpl_cad" in text
+
+
+# --- hot keys --------------------------------------------------------------------------------------
+
+def test_hot_keys_keep_results_whole(spark):
+    """A third of all rows under one key, one name or one designation."""
+    n = 3000
+    ids = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("o"), (F.col("id") % 500).cast("string")))
+    rows = spark.range(n).select(
+        ids.alias("asteroid_id"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 900).cast("int")).alias("close_approach_date"),
+        F.lit("Same Name").alias("name"),
+        F.col("id").alias("epoch_date_close_approach"),
+        F.col("id").cast("double").alias("miss_distance_km"),
+    )
+    latest = {r.asteroid_id: r.epoch_date_close_approach for r in profiles.latest_approaches(rows).collect()}
+    by_hand = {}
+    for i in range(n):
+        key = "hot" if i % 3 == 0 else f"o{i % 500}"
+        place = (i % 900, -i)
+        if key not in by_hand or place > by_hand[key]:
+            by_hand[key] = place
+    assert latest == {k: -v[1] for k, v in by_hand.items()}
+
+    objects = rows.select("asteroid_id", F.lit("Same Name").alias("name")).distinct()
+    orbits = spark.createDataFrame([(0, "x", "D", "1", "same name")], "row_no INT, asteroid_id STRING, designation STRING, spkid STRING, name STRING")
+    hits = resolve.resolve_orbits(resolve.with_candidates(objects), resolve.orbit_refs(orbits, "row_no", "asteroid_id"))
+    assert hits.filter("sbdb.ref.id = 'x'").count() == objects.count()
+
+    passages = rows.select("asteroid_id", F.col("close_approach_date").alias("approach_date"), F.lit(0.1).alias("distance_au"))
+    risks = spark.createDataFrame([("hot", "active")], "asteroid_id STRING, status STRING")
+    none = spark.createDataFrame([], "asteroid_id STRING")
+    rich = profiles.enriched_passages(passages, none, risks, none)
+    assert rich.count() == n and rich.filter("on_sentry_watchlist").count() == n // 3
