@@ -419,9 +419,8 @@ def malformed_messages(spark, d):
         .otherwise(F.col("value"))
         .alias("value")
     )
-    good, bad = feed.split_malformed(feed.parse_messages(cut), "asteroid")
-    verdicts = good.select(F.lit("good").alias("verdict")).unionAll(bad.select("reason"))
-    return verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n_messages"))
+    judged = feed.with_verdict(feed.parse_messages(cut), "asteroid")
+    return judged.groupBy(F.coalesce("verdict", F.lit("good")).alias("verdict")).agg(F.count(F.lit(1)).alias("n_messages"))
 
 
 def _bulk_payloads(spark, d):
@@ -821,15 +820,17 @@ def _incoming(spark, d):
 
 @query
 def change_detection(spark, d):
-    found = changes.detect_changes(_incoming(spark, d), _stored(spark, d), APPROACH.keys)
+    # The batch is read twice, the stored table once.
+    found = changes.detect_changes(materialise(_incoming(spark, d)), _stored(spark, d), APPROACH.keys)
     return found.select("close_approach_date", "asteroid_id", "orbiting_body", "change_type")
 
 
 @query
 def upsert_current(spark, d):
-    stored = _stored(spark, d)
-    found = changes.detect_changes(_incoming(spark, d), stored, APPROACH.keys).drop("change_type")
-    return changes.upsert(stored, found, APPROACH.keys).select("close_approach_date", "asteroid_id", "orbiting_body")
+    stored = materialise(_stored(spark, d))
+    found = changes.detect_changes(materialise(_incoming(spark, d)), stored, APPROACH.keys).drop("change_type")
+    table = changes.upsert(stored, materialise(found), APPROACH.keys)
+    return table.select("close_approach_date", "asteroid_id", "orbiting_body")
 
 
 # --- ledgers and work lists -------------------------------------------------------------------------------
@@ -1039,7 +1040,7 @@ def stream_agencies(spark, d):
     folder = run_folder(spark)
     held = agency_stream.create_tables(spark, f"{folder}/tables")
     publish(envelopes.to_messages(_envelopes(spark, d)), "text", path=f"{folder}/messages")
-    messages = feed.read_message_stream(spark, "text", path=f"{folder}/messages")
+    messages = agency_stream.read(spark, "text", path=f"{folder}/messages")
     agency_stream.start(messages, held, f"{folder}/checkpoint", once=True).awaitTermination()
     return metrics.table_counts({name: table.current() for name, table in held.items()})
 

@@ -89,14 +89,20 @@ def parse_messages(raw: DataFrame, schema: str = MESSAGE_SCHEMA, value: str = "v
     return raw.select("*", F.explode_outer(F.array(parsed)).alias("d"))
 
 
+def with_verdict(parsed: DataFrame, required: str) -> DataFrame:
+    """Add `verdict`: why a message cannot be used, NULL for a good one."""
+    broken, part = F.col(f"d.{CORRUPT}").isNotNull(), F.col(f"d.{required}")
+    reason = F.when(broken, F.lit("malformed")).when(part.isNull(), F.lit(f"no {required}"))
+    return parsed.withColumn("verdict", reason)
+
+
 def split_malformed(parsed: DataFrame, required: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantine): a message without its `required` part, or that
-    does not parse, keeps its text and a reason."""
-    part, text = F.col(f"d.{required}"), F.col(value).cast("string")
-    broken = F.col(f"d.{CORRUPT}").isNotNull()
-    bad = broken | part.isNull()
-    reason = F.when(broken, F.lit("malformed")).otherwise(F.lit(f"no {required}"))
-    return parsed.filter(~bad), parsed.filter(bad).select(text.alias("value"), reason.alias("reason"))
+    """(good rows, quarantine): a message that does not parse, or without its
+    `required` part, keeps its text and the reason."""
+    judged = with_verdict(parsed, required)
+    good = judged.filter(F.col("verdict").isNull()).drop("verdict")
+    bad = judged.filter(F.col("verdict").isNotNull())
+    return good, bad.select(F.col(value).cast("string").alias("value"), F.col("verdict").alias("reason"))
 
 
 def flatten_messages(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
