@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearpass.llm import suffix_dedup
+from nearpass.llm import jaccard_join, language_id, pattern_packing, positional_index, suffix_dedup
 from nearpass.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark, d):
+    """Language of every page and document from text, markup, address and host or source."""
+    return language_id.languages_of(table(spark, d, "pages"), table(spark, d, "documents"))
+
+
 @query
 def op4_suffix_dedup(spark, d):
     """Bytes of each document covered by a 200-byte string that starts anywhere else too."""
     return suffix_dedup.remove_repeats(table(spark, d, "documents"))
+
+
+@query
+def op6_decontamination(spark, d):
+    """Documents with words inside 13-word passages of the benchmark."""
+    return positional_index.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op9_jaccard_join(spark, d):
+    """Groups of documents whose sets of four-word shingles are similar by 0.85 or more."""
+    return jaccard_join.jaccard_groups(table(spark, d, "documents"))
+
+
+@query
+def op10_pattern_packing(spark, d):
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return pattern_packing.pack(table(spark, d, "documents"))

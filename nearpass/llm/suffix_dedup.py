@@ -168,7 +168,8 @@ def _judge(items: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     cores = items.groupBy("core").agg(
         F.sum("n").alias("n_core"), F.min("triple").alias("t0"), F.max("triple").alias("t1")
     )
-    cores = cores.filter("n_core > 1").select("core", (F.col("t0") != F.col("t1")).alias("mixed"))
+    # Written, so that the join below has two plain shuffles and may split a core that very many items have.
+    cores = work.save(cores.filter("n_core > 1").select("core", (F.col("t0") != F.col("t1")).alias("mixed")))
     met = work.save(items.join(cores, "core"))
     mixed = met.filter("mixed")
     one = F.min(F.struct(*[c for c in met.columns if c not in ("core", "triple", "n", "mixed")])).alias("one")

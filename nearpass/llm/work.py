@@ -41,10 +41,11 @@ class Work:
     table that nothing reads any more; `release` removes what finished runs left.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, passing: bool = True):
         ship(spark)
         self.spark, self.folder, self._n = spark, run_folder(spark), 0
-        _kept.append(self)
+        if passing:
+            _kept.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self._n}"
@@ -64,8 +65,13 @@ class Work:
             _kept.remove(self)
 
 
+def forget() -> None:
+    """From now on `release` leaves alone what earlier runs wrote."""
+    _kept.clear()
+
+
 def release() -> None:
-    """Remove the tables of all runs whose results have been written elsewhere."""
+    """Remove the tables of the runs since `forget`; their results must have been written elsewhere."""
     for work in list(_kept):
         work.close()
 
