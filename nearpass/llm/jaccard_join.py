@@ -268,17 +268,24 @@ def _closest(percent: int, most: int | None):
         flat = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), 3 * m)[order]
         name, size = flat[:, : 2 * m].copy().view(np.uint16), flat[:, 2 * m :].astype(np.int16)
         ends = np.searchsorted(part, part, side="right")  # holders of other components are behind
+        # Of the signatures a pair shares, the first one's group compares it.
+        lists = group.column("before").combine_chunks().take(pa.array(order))
+        owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        known, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        holds = np.zeros((len(node), len(known)), np.float32)
+        holds[owner, column] = 1
         two_blocks = bool((side == 1).any())
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first_round = again.all()
         for i in np.flatnonzero(again).tolist():
             j0 = ends[i] if first_round else 0
             allowed = (100 - percent) * (n[j0:] + n[i]) // (100 + percent)
-            differ = np.count_nonzero(name[j0:] != name[i], axis=1)
-            near = (differ <= allowed) & (part[j0:] != part[i])
+            near = part[j0:] != part[i]
+            near &= holds[j0:] @ holds[i] == 0
             if two_blocks:
                 near &= side[j0:] != side[i]
             js = np.flatnonzero(near)
+            js = js[np.count_nonzero(name[j0:][js] != name[i], axis=1) <= allowed[js]]
             if not len(js):
                 continue
             gap = np.abs(size[j0:][js] - size[i])
@@ -408,8 +415,8 @@ def jaccard_groups(
     )
     again = None  # holders whose partners have not all come out
     for most in CLOSEST:
-        label = work.save(components(linked, work))
-        open_ = _open(crowded, label)
+        open_ = work.save(_open(crowded, label))
+        lists = open_.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))  # at most its segments
         if again is None:
             open_ = open_.withColumn("again", F.lit(True))
         else:
@@ -423,6 +430,7 @@ def jaccard_groups(
             F.greatest("own", "other").alias("hi"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
         ).withColumn("band", F.expr("CAST(sig & 63L AS INT)"))
         spread = spread.join(nodes.select("node", "n"), "node").join(sketches, ["node", "band"])
+        spread = spread.join(lists, "node").withColumn("before", F.filter("sigs", lambda s: s < F.col("sig"))).drop("sigs")
         near = spread.groupBy("sig", "lo", "hi").applyInArrow(_closest(percent, most), "sig bigint, a bigint, b bigint")
         near = work.save(near)
         again = near.filter("a = b").select("sig", F.col("a").alias("node")).distinct()
@@ -430,9 +438,9 @@ def jaccard_groups(
         fresh = work.save(fresh)
         linked = linked.unionByName(work.save(_verify(fresh, known, words, percent)))
         tested = tested.unionByName(fresh)
+        label = work.save(components(linked, work))
         if again.isEmpty():
             break
-    label = work.save(components(linked, work))
 
     names = nodes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     smallest = names.groupBy("component").agg(F.min("least").alias("component_id"))

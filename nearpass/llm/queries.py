@@ -11,7 +11,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearpass.llm import jaccard_join, language_id, pattern_packing, positional_index, suffix_dedup
+from nearpass.llm import (
+    cap_filters,
+    jaccard_join,
+    language_id,
+    license_scan,
+    pattern_packing,
+    positional_index,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_rows,
+)
+from nearpass.llm.work import Work
 from nearpass.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,18 +50,50 @@ def op1_language_id(spark, d):
     return language_id.languages_of(table(spark, d, "pages"), table(spark, d, "documents"))
 
 
+@query
+def op2_license_scan(spark, d):
+    """Licences named or quoted in lines, paragraphs or the whole of each document."""
+    return license_scan.scan_licenses(table(spark, d, "documents"))
+
+
+@query
+def op3_quality(spark, d):
+    """Quality score of every document, learnt from the labelled ones that are not held out."""
+    return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op4_suffix_dedup(spark, d):
     """Bytes of each document covered by a 200-byte string that starts anywhere else too."""
     return suffix_dedup.remove_repeats(table(spark, d, "documents"))
 
 
+@query
+def op5_cap_filters(spark, d):
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
+    return cap_filters.near_vectors(table(spark, d, "embeddings"))
+
+
 @query
 def op6_decontamination(spark, d):
     """Documents with words inside 13-word passages of the benchmark."""
     return positional_index.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def op7_token_rows(spark, d):
+    """Packed rows of token ids of all documents, written as files and read back as digests."""
+    path = f"{Work(spark).folder}/token_rows"
+    token_rows.write_token_rows(table(spark, d, "documents"), path)
+    return token_rows.digest(spark.read.parquet(path))
+
+
+@query
+def op8_sharding(spark, d):
+    """Shards of all documents of nearly equal bytes, equal texts together."""
+    return sharding.shard(table(spark, d, "documents"))
+
+
 @query
 def op9_jaccard_join(spark, d):
     """Groups of documents whose sets of four-word shingles are similar by 0.85 or more."""
