@@ -34,6 +34,7 @@ SLICE_BYTES = 1 << 19
 EFFECTIVE = 60.0  # trigrams that count in full; more add less and less
 STRENGTH = 20.0  # rows a parent level counts as in the smoothing of a host
 PSEUDO = 1.0
+NOISE = -25.0  # log prior of noise: a short text with unusual words is not rejected
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -151,7 +152,7 @@ def identify(evidence: DataFrame, labelled: DataFrame, lang: str = "lang", text:
     judged = F.lit(None).cast("int")
     for k in reversed(range(len(languages))):
         judged = F.when(log[k] == top, k).otherwise(judged)
-    usable = (F.col("n_trigrams") > 0) & (top > log[-1])
+    usable = (F.col("n_trigrams") > 0) & (top > log[-1] + NOISE)
     scored = scored.withColumn("_judged", F.when(usable, judged))
 
     def table(by: list[str], name: str) -> DataFrame:
