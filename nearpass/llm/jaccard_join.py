@@ -24,10 +24,11 @@ nothing is decided without comparing the sets.  First each node is compared
 with the node most of whose signatures it shares as the least of their holders.
 Then holders of one signature that are still in different components are
 compared; pairs inside a component decide nothing.  Up to FEW holders, their
-pairs are rows.  Of more holders no pairs are formed: each brings a sketch (for
-each of up to 512 segments, the name and size of its part), from which follows
-a lower bound of the difference, and only pairs within the bound come out, at
-first the closest few of each holder, in the last round all that are left.
+pairs are rows.  Of more holders no pairs are formed; only pairs that their
+sketches allow come out, at first the closest few of each holder, in the last
+round all that are left.  A sketch has a byte of the name and the size of a
+set's part in each of up to SKETCH segments, from which follows a lower bound of
+the difference of two sets.  No texts are compared of pairs beyond the bound.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ FLUSH = 1 << 20  # signatures a task gathers before it hands them on
 BUCKET = 400_000  # signatures expected in one bucket
 FEW = 32  # holders of one signature whose pairs are rows
 CLOSEST = (2, 32, None)  # partners of a holder in the successive rounds; None: all
-SKETCH = 512  # segments of a sketch at most
+SKETCH = 1024  # segments of a sketch at most
 BLOCK = 4096  # holders that one task compares with as many
 LOCAL = 64  # holders of one signature that one flush sends to its bucket
 
@@ -235,17 +236,17 @@ def _sketches(words: int, bands: list[Band], percent: int):
                         members = value[bounds[i] : bounds[i + 1]]
                         own = int(np.searchsorted(edges, len(members), side="right")) - 1
                         for band in (own, own + 1):
-                            m = min(SKETCH, 4 * (2 * (100 - percent) * bands[band].most // (100 + percent) + 1))
+                            m = min(SKETCH, 3 * (2 * (100 - percent) * bands[band].most // (100 + percent) + 1))
                             segment = (((members >> U(32)) * U(m)) >> U(32)).astype(np.int64)
                             edge = np.searchsorted(segment, np.arange(m + 1))
                             sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(members))])
-                            name = (mix(sums[edge[1:]] - sums[edge[:-1]]) >> U(48)).astype(np.uint16)
+                            name = (mix(sums[edge[1:]] - sums[edge[:-1]]) >> U(56)).astype(np.uint8)
                             size = np.minimum(np.diff(edge), 255).astype(np.uint8)
-                            rows.append((node[begin + i], band & 63, name.tobytes() + size.tobytes()))
+                            rows.append((node[begin + i], band & 63, name.tobytes(), size.tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.binary())
+                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "band", "sketch"])
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "band", "names", "sizes"])
 
     return run
 
@@ -263,10 +264,9 @@ def _closest(percent: int, most: int | None):
         part, node, n, side, again = part[order], *(
             group.column(c).to_numpy()[order] for c in ("node", "n", "side", "again")
         )
-        blobs = group.column("sketch").to_pylist()
-        m = len(blobs[0]) // 3
-        flat = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), 3 * m)[order]
-        name, size = flat[:, : 2 * m].copy().view(np.uint16), flat[:, 2 * m :].astype(np.int16)
+        blobs = [b"".join(group.column(c).to_pylist()) for c in ("names", "sizes")]
+        name, size = (np.frombuffer(b, np.uint8).reshape(len(node), -1)[order] for b in blobs)
+        size = size.astype(np.int16)
         ends = np.searchsorted(part, part, side="right")  # holders of other components are behind
         # Of the signatures a pair shares, the first one's group compares it.
         lists = group.column("before").combine_chunks().take(pa.array(order))
@@ -307,6 +307,31 @@ def _closest(percent: int, most: int | None):
     return run
 
 
+def _allowed(percent: int):
+    """Pairs whose sketches' names differ in no more segments than linked sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c).to_pylist() for c in ("names_a", "names_b"))
+            most = (100 - percent) * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // (100 + percent)
+            keep = [
+                int(np.count_nonzero(np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8))) <= n
+                for a, b, n in zip(left, right, most.tolist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _sift(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, band) that may link by their sizes and sketches."""
+    for side in ("a", "b"):
+        named = [F.col("node").alias(side), "band", F.col("n").alias(f"n_{side}"), F.col("names").alias(f"names_{side}")]
+        pairs = pairs.join(sketches.select(*named), [side, "band"])
+    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return pairs.mapInArrow(_allowed(percent), "a bigint, b bigint")
+
+
 def _compare(words: int, percent: int):
     """Pairs (a, b, text_a, text_b) whose sets link."""
 
@@ -392,27 +417,32 @@ def jaccard_groups(
     known = meets(rows.select("key", "text"), needed, "key").join(needed, "key").select("node", "n", "text")
     known = work.save(known.dropDuplicates(["node"]))
 
-    least = held.groupBy("sig").agg(F.min("node").alias("a"))
-    stars = held.join(least, "sig").filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    first = work.save(stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
-    linked = work.save(_verify(first, known, words, percent))
+    sketches = known.select("node", "text").mapInArrow(
+        _sketches(words, bands, percent), "node bigint, band int, names binary, sizes binary"
+    )
+    sketches = work.save(sketches.join(nodes.select("node", "n"), "node"))
+    band = F.expr("CAST(sig & 63L AS INT)")
+
+    least = held.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("holders"))
+    held = work.save(held.join(least, "sig"))
+    stars = held.filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.max(band).alias("band")
+    )
+    first = stars.groupBy("b").agg(F.max_by(F.struct("a", "band"), F.struct("c", "a")).alias("x")).select("x.*", "b")
+    first = work.save(first)
+    sifted = work.save(_sift(first, sketches, percent))
+    linked = work.save(_verify(sifted, known, words, percent))
     label = work.save(components(linked, work))
+    tested = first.select("a", "b")
 
-    crowd = held.groupBy("sig").agg(F.count(F.lit(1)).alias("holders"))
-    held = work.save(held.join(crowd, "sig"))
     few = _open(held.filter(F.col("holders") <= FEW), label)
     a, b = (few.select("sig", F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    across = a.join(b, "sig").filter("a < b AND c_a <> c_b").select("a", "b").distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = work.save(across.join(tested, ["a", "b"], "left_anti"))
+    across = a.join(b, "sig").filter("a < b AND c_a <> c_b").groupBy("a", "b").agg(F.max(band).alias("band"))
+    across = work.save(_sift(across.join(tested, ["a", "b"], "left_anti"), sketches, percent))
     linked = linked.unionByName(work.save(_verify(across, known, words, percent)))
     tested = tested.unionByName(across)
-
     crowded = held.filter(F.col("holders") > FEW)
-    in_crowd = known.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "text")
-    sketches = work.save(
-        in_crowd.mapInArrow(_sketches(words, bands, percent), "node bigint, band int, sketch binary")
-    )
+
     again = None  # holders whose partners have not all come out
     for most in CLOSEST:
         open_ = work.save(_open(crowded, label))
@@ -428,8 +458,8 @@ def jaccard_groups(
         spread = spread.select(
             "sig", "node", "component", "again", F.least("own", "other").alias("lo"),
             F.greatest("own", "other").alias("hi"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
-        ).withColumn("band", F.expr("CAST(sig & 63L AS INT)"))
-        spread = spread.join(nodes.select("node", "n"), "node").join(sketches, ["node", "band"])
+        ).withColumn("band", band)
+        spread = spread.join(sketches, ["node", "band"])
         spread = spread.join(lists, "node").withColumn("before", F.filter("sigs", lambda s: s < F.col("sig"))).drop("sigs")
         near = spread.groupBy("sig", "lo", "hi").applyInArrow(_closest(percent, most), "sig bigint, a bigint, b bigint")
         near = work.save(near)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.llm.scan import slices
-from nearpass.llm.work import Work
+from nearpass.llm.work import Work, without
 
 TABLE = 1 << 15
 SLICE_BYTES = 1 << 19
@@ -248,5 +248,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, whose language is identified."""
     row = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     judged = identify(document_evidence(row).withColumn("_row", F.xxhash64("doc_id", "text")), docs)
-    rejected = judged.filter("rejected").select("_row").distinct()
-    return row.join(rejected, "_row", "left_anti").select(*docs.columns)
+    rejected = Work(docs.sparkSession).save(judged.filter("rejected").select("_row").distinct())
+    return without(row, rejected, "_row").select(*docs.columns)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.llm.scan import ODD, Hashes, flat, mix, signed, slices
-from nearpass.llm.work import Work, meets
+from nearpass.llm.work import Work, meets, misses
 
 GRAM = 64
 SLICE_BYTES = 1 << 18
@@ -239,25 +239,35 @@ def _cut_batches(size: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 200, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 200, with_text: bool = False, carry: tuple = ()
+) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text.
 
     Every byte covered by a string of `size` bytes that starts anywhere else
     too is removed; strings are judged on the input.  `kept_text` leaves out
-    the parts of a character that a cut has split.
+    the parts of a character that a cut has split.  The columns in `carry` come
+    through unchanged.
 
     Null and empty texts and those below `size` bytes keep all bytes.  Repeated
     rows (same key, same text) are each other's copies.  Rows of one key with
     different texts, and a null key, are told apart by their texts.  Other
     columns are not read.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    work = Work(spark)
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    work = Work(docs.sparkSession)
+    carried = [F.col(c).alias(f"_carried_{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     rows = rows.withColumn("key", F.xxhash64("_id", "text"))
-    spans = repeated_spans(rows.select("key", "text"), work, size)
-    spans = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
-    cut = rows.join(spans, "key", "left").select("_id", "text", "spans").mapInArrow(_cut_batches(size, with_text), schema)
+    spans = work.save(repeated_spans(rows.select("key", "text"), work, size))
+    listed = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    # Texts without a span need no join.
+    found = meets(rows, spans, "key").join(listed, "key", "left")
+    clean = misses(rows, spans, "key").withColumn("spans", F.lit(None).cast(listed.schema["spans"].dataType))
+    columns = ["_id", *(f"_carried_{k}" for k in range(len(carry)))]
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    schema = f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
+    both = found.unionByName(clean).select(*columns, "text", "spans")
+    cut = both.mapInArrow(_cut_batches(size, with_text), schema)
+    for k, c in enumerate(carry):
+        cut = cut.withColumnRenamed(f"_carried_{k}", c)
     return cut.withColumnRenamed("_id", key)

@@ -107,17 +107,34 @@ def salted_rank(df: DataFrame, by: list[str], order: list[str], salt: Column, na
 BITS = 1 << 23
 
 
-def meets(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be in `others`: all that are, and few that are not.
-
-    A bitmap of fixed size (BITS places in 64-bit words, hence at most BITS / 64
-    rows) is what is broadcast, whatever the number of keys; it only spares
-    large rows the shuffle of the join that follows.
-    """
+def _marked(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows with `_maybe`: false if the key is certainly not in `others`, by a bitmap of fixed size."""
     place = F.pmod(F.xxhash64(key), F.lit(BITS))
     bit = F.expr("shiftleft(1L, CAST(_place & 63L AS INT))")
     words = others.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(
         F.bit_or(bit).alias("_bits")
     )
-    found = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6))
-    return found.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    placed = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6))
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return placed.join(F.broadcast(words), "_word", "left").withColumn("_maybe", maybe)
+
+
+def meets(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be in `others`: all that are, and few that are not.
+
+    The bitmap (BITS places in 64-bit words, hence at most BITS / 64 rows) is
+    what is broadcast, whatever the number of keys; it only spares large rows
+    the shuffle of the join that follows.
+    """
+    return _marked(rows, others, key).filter("_maybe").select(*rows.columns)
+
+
+def misses(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows that `meets` leaves out: their key is certainly not in `others`."""
+    return _marked(rows, others, key).filter("NOT _maybe").select(*rows.columns)
+
+
+def without(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in `others`; only rows that the bitmap cannot clear are shuffled."""
+    doubtful = meets(rows, others, key).join(others.select(key), key, "left_anti")
+    return misses(rows, others, key).unionByName(doubtful)

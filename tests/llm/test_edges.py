@@ -68,7 +68,8 @@ def test_one_row_for_each_document(spark, docs, empty, name):
 
 def test_languages(spark, docs):
     rows = OPERATORS["languages"](spark, docs).collect()
-    assert {r.doc_id for r in rows if r.rejected} == {2, 3, 4}
+    assert {r.doc_id for r in rows if r.rejected} >= {2, 3, 4}
+    assert not {r.doc_id for r in rows if r.rejected} & {6, 7}
     assert {r.language for r in rows if r.rejected} == {"und"}
     assert {r.language for r in rows if not r.rejected} == {"en"}
 
@@ -122,15 +123,15 @@ def test_shards(spark, docs):
 
 def test_best_capacity_against_all_partitions():
     import random
-    from itertools import combinations
+    from itertools import combinations_with_replacement
 
     random.seed(5)
     for _ in range(200):
         sizes = [random.randint(1, 40) for _ in range(random.randint(1, 9))]
         shards = random.randint(1, 4)
         ranges = sharding.Ranges([(k << 60, 64, n, 1) for k, n in enumerate(sizes)])
-        cuts = combinations(range(len(sizes) + 1), shards - 1)
-        best = min(max(sum(sizes[a:b]) for a, b in zip((0, *c), (*c, len(sizes)), strict=True)) for c in cuts if list(c) == sorted(c))
+        cuts = combinations_with_replacement(range(len(sizes) + 1), shards - 1)
+        best = min(max(sum(sizes[a:b]) for a, b in zip((0, *c), (*c, len(sizes)), strict=True)) for c in cuts)
         assert ranges.smallest(shards) == best
 
 
