@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from nearpass.llm import jaccard_join, language_id, pattern_packing, positional_index, suffix_dedup  # noqa: E402
-from nearpass.llm.work import Work, forget, release  # noqa: E402
+from nearpass.llm.work import Work, forget, meets, misses, release, without  # noqa: E402
 from nearpass.session import configure  # noqa: E402
 
 
@@ -35,22 +35,25 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     release()
     groups = jaccard_join.jaccard_groups(docs, words=5, percent=80)
-    first = groups.filter((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0))
-    kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = kept.dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    groups = Work(spark).save(groups)
+    stays = (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
+    gone = groups.filter(~stays).select("doc_id")
+    twice = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    named = without(docs.filter("doc_id IS NOT NULL"), gone, "doc_id")
+    once = misses(named, twice, "doc_id")
+    rest = meets(named, twice, "doc_id").dropDuplicates(["doc_id"])
+    return once.unionByName(rest).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that occur more than once; a text of which nothing is left goes."""
     release()
-    cut = suffix_dedup.remove_repeats(docs, with_text=True)
-    cut = cut.filter("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    joined = docs.join(cut, "doc_id", "left")
-    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")))
-    joined = joined.withColumn("text", text)
-    return joined.filter("kept_text IS NULL OR trim(kept_text) <> ''").select(*docs.columns)
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    cut = suffix_dedup.remove_repeats(docs, with_text=True, carry=others)
+    changed = F.col("n_removed") > 0
+    cut = cut.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    cut = cut.withColumn("n_chars", F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars")))
+    return cut.filter(~changed | (F.trim("kept_text") != "")).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     release()
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     bad = positional_index.contamination(docs, benchmark).filter("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, Work(spark).save(bad), "doc_id").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
