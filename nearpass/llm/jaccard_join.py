@@ -7,11 +7,13 @@ if a larger partner may lie there, for the next one.  For a band, the universe
 of shingles is cut by hash into m segments; a signature is the name of the part
 of a set that falls into one segment.
 
-* Plain segments: m = H + 1 + s.  Linked sets agree in at least s + 1 segments.
-  Each set leaves out its s costliest signatures, those of the fewest shingles
-  (with ties by name).  Cost is a property of the signature alone, so of the
-  s + 1 common ones the cheapest is left out by neither set.  Empty segments,
-  which unrelated sets share, thus make no candidates.
+* Plain segments: m = H + 1 + s + e.  Linked sets agree in at least s + e + 1
+  segments.  Each set leaves out its s costliest signatures, those of the fewest
+  shingles (with ties by name).  Cost is a property of the signature alone, so
+  of the common ones the e + 1 cheapest are left out by neither set.  Empty
+  segments, which unrelated sets share, thus make no candidates, and sets that
+  share fewer than e + 1 signatures, as by a common passage, are no candidates
+  either.
 * One-deletion neighbourhoods: m = H // 2 + 1.  In some segment linked sets
   differ in one shingle at most, so the part of the one or one of its subsets
   with a shingle less is among those of the other.
@@ -63,6 +65,7 @@ class Band:
     most: int
     segments: int  # 0: no two different sets of this band can link
     skip: int
+    shared: int  # signatures that linked sets share at least
     deletions: bool
 
 
@@ -81,12 +84,12 @@ def allocate(edges: list[int], counts: dict[int, tuple[int, int]], percent: int)
         most = edges[k + 1] - 1
         differ = 2 * (100 - percent) * most // (100 + percent)
         if differ == 0:
-            bands.append(Band(least, most, 0, 0, False))
+            bands.append(Band(least, most, 0, 0, 1, False))
             continue
         n, total = counts.get(k, (0, 0))
         size = total / n if n else least
-        skip = 1 + differ // 12
-        plain, deleting = differ + 1 + skip, differ // 2 + 1
+        skip, extra = 1 + differ // 5, differ // 8
+        plain, deleting = differ + 1 + skip + extra, differ // 2 + 1
         # A pair is met by chance in segments with no shingle (or with one that is deleted).
         few = size / plain
         lone = plain * (n * max(few * math.exp(-few) / 50, 0)) ** 2 / 2
@@ -94,9 +97,9 @@ def allocate(edges: list[int], counts: dict[int, tuple[int, int]], percent: int)
         lone_deleting = deleting * (n * (1 + few) * math.exp(-few)) ** 2 / 2
         cost, cost_deleting = n * plain + lone, n * (deleting + size) + lone_deleting
         if cost_deleting < cost:
-            bands.append(Band(least, most, deleting, 0, True))
+            bands.append(Band(least, most, deleting, 0, 1, True))
         else:
-            bands.append(Band(least, most, plain, skip, False))
+            bands.append(Band(least, most, plain, skip, 1 + extra, False))
     return bands
 
 
@@ -437,7 +440,10 @@ def jaccard_groups(
 
     few = _open(held.filter(F.col("holders") <= FEW), label)
     a, b = (few.select("sig", F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    across = a.join(b, "sig").filter("a < b AND c_a <> c_b").groupBy("a", "b").agg(F.max(band).alias("band"))
+    across = a.join(b, "sig").filter("a < b AND c_a <> c_b").groupBy("a", "b", band.alias("band")).count()
+    # A pair with too few of these shares a signature of many holders, or does not link.
+    enough = F.element_at(F.array(*[F.lit(x.shared) for x in bands]), F.col("band") + 1)
+    across = across.filter(F.col("count") >= enough).groupBy("a", "b").agg(F.max("band").alias("band"))
     across = work.save(_sift(across.join(tested, ["a", "b"], "left_anti"), sketches, percent))
     linked = linked.unionByName(work.save(_verify(across, known, words, percent)))
     tested = tested.unionByName(across)

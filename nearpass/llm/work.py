@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import zipfile
@@ -50,8 +51,12 @@ class Work:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self._n}"
         self._n += 1
+        schema = df.schema
         df.write.parquet(path)
-        saved = self.spark.read.schema(df.schema).parquet(path)
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what has been written
+        saved = self.spark.read.schema(schema).parquet(path)
         saved._work_path = path
         return saved
 
