@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, work: Work, size: int = 200) -> DataFrame:
 
 def _cut_batches(size: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             texts = batch.column("text").to_pylist()
             spans = batch.column("spans").to_pylist()
             n_bytes, n_removed, n_spans, digest, kept_text = [], [], [], [], []

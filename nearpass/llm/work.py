@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from nearpass.session import run_folder
 
+# Rows of whole texts that a Python worker holds at a time; a table of long texts needs fewer than Spark's default.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 _kept: list[Work] = []
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -44,6 +46,7 @@ class Work:
 
     def __init__(self, spark: SparkSession, passing: bool = True):
         ship(spark)
+        spark.conf.set(*BATCH)
         self.spark, self.folder, self._n = spark, run_folder(spark), 0
         if passing:
             _kept.append(self)
