@@ -299,8 +299,7 @@ sql("cad_enriched", "cad sbdb sentry esa", """
     FROM cad c
     LEFT JOIN sentry r ON r.asteroid_id = c.asteroid_id
     LEFT JOIN sbdb s ON s.asteroid_id = c.asteroid_id
-    LEFT JOIN esa e ON e.asteroid_id = c.asteroid_id OR LOWER(e.esa_designation) = LOWER(s.designation)
-    WHERE c.approach_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND c.distance_au <= 100""")
+    LEFT JOIN esa e ON e.asteroid_id = c.asteroid_id OR LOWER(e.esa_designation) = LOWER(s.designation)""")
 
 sql("cad_range", "cad", """
     SELECT asteroid_id, approach_date, ROUND(distance_au, 9) AS distance_au, v_rel_km_s, body FROM cad

@@ -182,7 +182,7 @@ def object_profile(spark, d):
 @query
 def cad_enriched(spark, d):
     rich = profiles.enriched_passages(
-        passages.in_range(bridge.passages(spark, d), DATE_MIN, DATE_MAX, None),
+        bridge.passages(spark, d),
         bridge.orbits(spark, d), bridge.risks(spark, d), bridge.risk_list(spark, d),
     )
     return tidy(

@@ -57,6 +57,10 @@ def designation_candidates(asteroid_id: Column, name: Column) -> Column:
 
 def like_pattern(query: Column, escape: bool = False) -> Column:
     """Substring pattern for ILIKE.  `%` and `_` inside the query stay wild
-    unless `escape` is set."""
-    body = F.regexp_replace(query, r"([\\%_])", r"\\$1") if escape else query
+    unless `escape` is set; a backslash that escapes neither of them is left
+    out, as LIKE would reject it."""
+    if escape:
+        body = F.regexp_replace(query, r"([\\%_])", r"\\$1")
+    else:
+        body = F.regexp_replace(query, r"(\\[%_\\])|\\", "$1")
     return F.concat(F.lit("%"), body, F.lit("%"))

@@ -90,8 +90,7 @@ def first_containing(
         .select(query, "brief", "lit", "a.gram", "a.best")
     )
     answered = anchors.filter("brief").select(query, "best")
-    # A backslash that escapes nothing is left out, as LIKE would reject it.
-    pattern = like_pattern(F.regexp_replace(query, r"\\(?![%_\\]|$)", ""))
+    pattern = like_pattern(F.col(query))
     # The literal run settles plain queries and keeps most other pairs from the pattern.
     matches = F.contains(F.lower(text), F.col("lit")) & F.when(wild, F.ilike(F.col(text), pattern)).otherwise(True)
     pairs = spread.join(anchors.filter(~F.col("brief")).select(query, "lit", "gram"), "gram").filter(matches)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,21 +47,25 @@ def local_session(
     return spark
 
 
-_own_folders: dict[str, str] = {}
+_own_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in
     `spark.checkpoint.dir`.
 
-    Only a session without that setting (a test on one machine) gets a folder
-    of its own.
+    A local session without that setting gets a folder of its own, removed when
+    the program ends; on a cluster a missing setting is an error, as the
+    executors' own folders cannot be read by each other.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         application = spark.sparkContext.applicationId
-        folder = _own_folders.get(application) or tempfile.mkdtemp(prefix="nearpass-")
-        _own_folders[application] = folder
+        if application not in _own_folders:
+            _own_folders[application] = tempfile.TemporaryDirectory(prefix="nearpass-")
+        folder = _own_folders[application].name
     return folder.rstrip("/")
 
 
@@ -82,7 +87,5 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a stored table with fewer splits than cores, dealt out over all
-    cores for work that is heavy per row.  A table of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt out evenly for work that is heavy per row, whatever the splits of their table."""
+    return df.hint("rebalance")

@@ -32,6 +32,8 @@ FILES_PER_TRIGGER = 16
 # --- end of fixed values ----------------------------------------------------------
 
 CORRUPT = "_corrupt_record"
+# The columns of a message stream that order its arrival.
+ARRIVAL = ("timestamp", "partition", "offset")
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:

@@ -32,9 +32,7 @@ PASSAGE_COLUMNS = {
     "body": "body",
 }
 DEFAULT_BODY = "Earth"
-NO_CUTOFF_AU = 100.0
 DEFAULT_CUTOFF_AU = 0.5
-EARLIEST, LATEST = date(1900, 1, 1), date(2200, 1, 1)
 # --- end of fixed values -------------------------------------------------------------
 
 
@@ -64,16 +62,19 @@ def parse_passages(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
 
 def in_range(
     passages: DataFrame,
-    date_min: date = EARLIEST,
-    date_max: date = LATEST,
-    dist_max_au: float | None = DEFAULT_CUTOFF_AU,
+    date_min: date | None = None,
+    date_max: date | None = None,
+    dist_max_au: float | None = None,
 ) -> DataFrame:
     """Records inside a date range and a distance limit; `None` means no limit,
-    which is 100 AU."""
-    limit = NO_CUTOFF_AU if dist_max_au is None else dist_max_au
-    return passages.filter(
-        F.col("approach_date").between(F.lit(date_min), F.lit(date_max)) & (F.col("distance_au") <= limit)
-    )
+    and a missing distance is dropped only by a distance limit."""
+    if date_min is not None:
+        passages = passages.filter(F.col("approach_date") >= F.lit(date_min))
+    if date_max is not None:
+        passages = passages.filter(F.col("approach_date") <= F.lit(date_max))
+    if dist_max_au is not None:
+        passages = passages.filter(F.col("distance_au") <= dist_max_au)
+    return passages
 
 
 def with_designation(passages: DataFrame) -> DataFrame:

@@ -75,6 +75,7 @@ def test_normalise_designation(spark):
 def test_like_pattern_escapes_on_request(spark):
     assert values(spark, ["50%_a\\b"], "STRING", lambda c: text.like_pattern(c, escape=True)) == ["%50\\%\\_a\\\\b%"]
     assert values(spark, ["50%"], "STRING", text.like_pattern) == ["%50%%"]
+    assert values(spark, ["a\\b\\%\\\\c\\"], "STRING", text.like_pattern) == ["%ab\\%\\\\c%"]
 
 
 def test_risk_score_and_bands(spark):

@@ -141,7 +141,9 @@ def test_passages(spark):
         ("", dt.date(2028, 6, 26), None, "", "Moon"),
     ]
     assert passages.designation_groups(rows).count() == 1
-    assert passages.in_range(rows, dist_max_au=None).count() == 1
+    assert passages.in_range(rows).count() == 2
+    assert passages.in_range(rows, dist_max_au=150.0).count() == 1
+    assert passages.in_range(rows, date_max=dt.date(2028, 6, 25)).count() == 0
 
 
 def test_fireballs(spark):
