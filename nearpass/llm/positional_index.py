@@ -7,8 +7,8 @@ terms that the benchmark may ask for are stored; a bitmap of fixed size decides.
 
 A phrase is looked up from its rarest term: the positions of that term, moved
 back by its offset in the phrase, are the possible starts; they are intersected
-with those of the next rarest term of the same block, and what is left with
-those of all others.
+with those of the next rarest term of the same block, and what is left is looked
+up in the lists of all others by binary search, one block at a time.
 """
 
 from __future__ import annotations
@@ -121,18 +121,42 @@ def phrases_in(index: DataFrame, phrases: DataFrame, work: Work) -> DataFrame:
 
     moved = F.transform("places", lambda p: p - F.col("k"))
     found = each.filter("nth = 1").join(postings, "term").select("phrase", "block", moved.alias("found"))
-    both = F.array_intersect("found", moved)
     second = each.filter("nth = 2").join(postings, "term").select("phrase", "block", moved.alias("more"))
-    single = each.groupBy("phrase").agg(F.max("nth").alias("words"))
-    met = found.join(second, ["phrase", "block"], "left").join(single, "phrase")
+    further = F.when(F.col("nth") > 2, F.struct("nth", "k", "term"))
+    rest = each.groupBy("phrase").agg(F.max("nth").alias("words"), F.array_sort(F.collect_list(further)).alias("rest"))
+    met = found.join(second, ["phrase", "block"], "left").join(rest, "phrase")
     left = F.when(F.col("words") == 1, F.col("found")).otherwise(F.array_intersect("found", "more"))
-    left = met.select("phrase", "block", "words", left.alias("found")).filter("size(found) > 0")
-    left = work.save(left)
-    rest = left.join(each.filter("nth > 2").select("phrase", "k", "term"), "phrase").join(postings, ["block", "term"])
-    rest = rest.select("phrase", "block", "words", F.explode(both).alias("start"))
-    rest = rest.groupBy("phrase", "block", "words", "start").agg(F.count(F.lit(1)).alias("n")).filter("n = words - 2")
-    short = left.filter("words <= 2").select("phrase", "block", F.explode("found").alias("start"))
-    return rest.select("phrase", "block", "start").unionByName(short)
+    left = work.save(met.select("phrase", "block", left.alias("found"), "rest").filter("size(found) > 0"))
+    # Only the blocks and phrases whose two rarest terms stand rightly come together with all lists of the block.
+    open_ = postings.join(left.select("block").distinct(), "block", "left_semi")
+    pairs = open_.groupBy("block").cogroup(left.groupBy("block"))
+    return pairs.applyInArrow(_starts, "block bigint, phrase bigint, start int")
+
+
+def _starts(key: tuple, postings: pa.Table, phrases: pa.Table) -> pa.Table:
+    """Starts of the phrases in one block: the candidates, looked up in the list of each further term, rarest first."""
+    term = postings.column("term").to_numpy()
+    lists = postings.column("places").combine_chunks()
+    edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    places = lists.flatten().to_numpy()
+    of = {t: i for i, t in enumerate(term.tolist())}
+    names, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for row in phrases.select(["phrase", "found", "rest"]).to_pylist():
+        start = np.array(row["found"], np.int32)
+        for more in row["rest"]:
+            if more["term"] not in of or not len(start):
+                start = start[:0]
+                break
+            at = of[more["term"]]
+            here = places[edge[at] : edge[at + 1]]
+            sought = start + more["k"]
+            near = np.minimum(np.searchsorted(here, sought), len(here) - 1)
+            start = start[here[near] == sought]
+        names.append(np.full(len(start), row["phrase"], np.int64))
+        starts.append(start)
+    phrase, start = np.concatenate(names), np.concatenate(starts)
+    block = np.full(len(phrase), key[0].as_py(), np.int64)
+    return pa.table({"block": block, "phrase": phrase, "start": start.astype(np.int32)})
 
 
 def near_in(index: DataFrame, phrases: DataFrame, within: int) -> DataFrame:
