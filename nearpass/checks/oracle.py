@@ -705,7 +705,8 @@ ROUNDS = """
     SELECT close_approach_date, 'N' || asteroid_id, name, orbiting_body, epoch_date_close_approach, miss_distance_km, src_line, true
     FROM deduped WHERE src_line = 1"""
 
-sql("stream_upsert", "deduped", f"""
+for name in ("stream_upsert", "stream_small_batches", "stream_new_checkpoint"):
+    sql(name, "deduped", f"""
     SELECT close_approach_date, asteroid_id, name, orbiting_body, epoch_date_close_approach,
            ROUND(miss_distance_km, 4) AS miss_distance_km FROM ({ROUNDS})""")
 

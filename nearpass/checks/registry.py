@@ -973,7 +973,8 @@ def _route(spark, d):
     publish(envelopes.to_messages(_envelopes(spark, d)), "text", path=folder)
     raw = spark.read.text(folder)
     good, _ = feed.split_malformed(feed.parse_messages(raw, agencies.ENVELOPE_SCHEMA), "asteroid_id")
-    return agencies.route_envelope(good.select("d.*"))
+    # Parsed once, read by five tables.
+    return agencies.route_envelope(materialise(good.select("d.*")))
 
 
 @query
@@ -989,9 +990,14 @@ def envelope_risk_rows(spark, d):
     )
 
 
-def _streamed(spark, d) -> KeyedTable:
+def _streamed(spark, d, files: int | None = None, fresh: bool = False) -> KeyedTable:
     """Two rounds of messages through the approach stream, the second one after
-    a restart from the checkpoint."""
+    a restart from the checkpoint.
+
+    With `files` each round comes in so many batches, of one file each, and the
+    log is folded on the way.  With `fresh` the second round has a topic and a
+    checkpoint of its own.
+    """
     folder = run_folder(spark)
     table = KeyedTable(spark, f"{folder}/close_approaches", APPROACH).create()
     kept = keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True))
@@ -1002,22 +1008,22 @@ def _streamed(spark, d) -> KeyedTable:
             "orbiting_body": F.when(F.col("src_line") == 2, "Moon").otherwise(F.col("orbiting_body")),
         }
     )
-    for rows in (kept, again):
-        publish(to_keyed_json(feed.to_messages(rows), approach_key()), "text", path=f"{folder}/messages")
-        messages = feed.read_message_stream(spark, "text", path=f"{folder}/messages")
+    for number, rows in enumerate((kept, again)):
+        topic = number if fresh else 0
+        keyed_rows = to_keyed_json(feed.to_messages(rows), approach_key())
+        publish(keyed_rows.repartition(files) if files else keyed_rows, "text", path=f"{folder}/messages-{topic}")
+        messages = feed.read_message_stream(spark, "text", 1 if files else None, path=f"{folder}/messages-{topic}")
         stream = approach_stream.start(
-            messages, table, f"{folder}/checkpoint", quarantine=f"{folder}/quarantine", once=True
+            messages, table, f"{folder}/checkpoint-{topic}", quarantine=f"{folder}/quarantine", once=True,
+            fold_every=3 if files else approach_stream.FOLD_EVERY,
         )
         stream.awaitTermination()
     return table
 
 
-@query
-def stream_upsert(spark, d):
-    """The approach table after both rounds."""
-    current = _streamed(spark, d).current()
+def _stream_rows(table: KeyedTable):
     return tidy(
-        current.select(
+        table.current().select(
             "close_approach_date", "asteroid_id", "name", "orbiting_body", "epoch_date_close_approach",
             F.col("miss_distance_km").cast("double").alias("miss_distance_km"),
         ),
@@ -1025,6 +1031,24 @@ def stream_upsert(spark, d):
     )
 
 
+@query
+def stream_upsert(spark, d):
+    """The approach table after both rounds."""
+    return _stream_rows(_streamed(spark, d))
+
+
+@query
+def stream_small_batches(spark, d):
+    """The same rows in eight batches, with folds between them."""
+    return _stream_rows(_streamed(spark, d, files=4))
+
+
+@query
+def stream_new_checkpoint(spark, d):
+    """The same rows, the second round by a stream with a new checkpoint."""
+    return _stream_rows(_streamed(spark, d, fresh=True))
+
+
 @query
 def stream_history(spark, d):
     """What the rounds wrote, by kind of change and body."""

@@ -92,10 +92,11 @@ def passage_refs(passages: DataFrame) -> DataFrame:
 
 
 def risk_list_refs(risk_list: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Risk-list keys as they are and, for spellings without blanks, bare."""
+    """Risk-list keys as they are and, for spellings without blanks, bare; of
+    keys with one bare spelling the first in the list counts."""
     ref = F.struct(F.col("key").alias("id"))
     exact = key_index(risk_list, F.col("key"), ref, order, "esa")
-    bare = key_index(risk_list, without_blanks(F.col("key")), ref, order, "esa_bare")
+    bare = key_index(risk_list, without_blanks(F.col("key")), ref, order, "esa_bare", last=False)
     return exact.unionByName(bare)
 
 

@@ -385,3 +385,9 @@ def test_hot_keys_keep_results_whole(spark):
     none = spark.createDataFrame([], "asteroid_id STRING")
     rich = profiles.enriched_passages(passages, none, risks, none)
     assert rich.count() == n and rich.filter("on_sentry_watchlist").count() == n // 3
+
+
+def test_of_list_keys_with_one_bare_spelling_the_first_counts(spark):
+    listed = spark.createDataFrame([(1, "2020 AB"), (2, "2020AB"), (3, "2020 A B")], "line INT, key STRING")
+    refs = {(r.catalogue, r.key): r.ref.id for r in resolve.risk_list_refs(listed, ("line",)).collect()}
+    assert refs == {("esa", k): k for k in ("2020 AB", "2020AB", "2020 A B")} | {("esa_bare", "2020AB"): "2020 AB"}
