@@ -44,7 +44,7 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
         " granted, provided that the above copyright notice and this permission notice appear in all copies."
     ],
-    "proprietary": ["All rights reserved. No part of this text may be reproduced without permission."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this text may be reproduced without permission."],
 }
 DICE = 0.8
 SLICE_BYTES = 1 << 18

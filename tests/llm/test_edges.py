@@ -175,3 +175,19 @@ def test_licences(spark):
     table = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     got = [r.license for r in sorted(license_scan.scan_licenses(table).collect())]
     assert got == ["MIT", "Apache-2.0", None, None]
+
+
+def test_licence_notices_of_documents(spark):
+    """Every kind of notice that stands in the documents, against a plain search for its line."""
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "All rights reserved.": "proprietary",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plain = {r.doc_id: {notices[x] for x in (r.text or "").split("\n") if x in notices} for r in docs.collect()}
+    assert set().union(*plain.values()) == set(notices.values())
+    for r in license_scan.scan_licenses(docs).collect():
+        assert set(r.licenses) == plain[r.doc_id] and (r.license is not None) == bool(r.licenses)
