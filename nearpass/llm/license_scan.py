@@ -1,15 +1,17 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
-Compared are the lines, the paragraphs and the whole of a text.  The Dice
-coefficient of two bags of a and b bigrams is at most 2 * min(a, b) / (a + b),
-so a template is a candidate only for units whose size lies in its bounds; the
-others are never compared.  The words of a unit are counted for all units of a
-slice at once, and only units within some bounds that hold a bigram of a
-template are looked at one by one.
+Compared are all passages: runs of neighbouring bigrams of a text, of whatever
+length and wherever they begin, hence also its sentences, lines, paragraphs and
+the whole.  The Dice coefficient of two bags of a and b bigrams is at most
+2 * min(a, b) / (a + b), so a template is compared only where as many of its
+bigrams as the bound asks for stand within the greatest size that the bound
+allows.  The bigrams of all texts of a slice are looked up at once; single
+places are looked at only where that holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearpass.llm import license_texts
 from nearpass.llm.scan import ODD, U, Hashes, mix, runs, slices
 from nearpass.llm.work import Work
 
 # Licence names and the wording of their notices and texts.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", license_texts.APACHE_2_0],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -32,17 +35,19 @@ TEMPLATES = {
         " and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The"
         " above copyright notice and this permission notice shall be included in all copies or substantial portions of"
         " the Software.",
+        license_texts.MIT,
     ],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", license_texts.GPL_3_0],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", license_texts.GPL_2_0],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License."],
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", license_texts.CC0_1_0],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", license_texts.BSD_3_CLAUSE, license_texts.BSD_3_CLAUSE_REGENTS],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
-        " granted, provided that the above copyright notice and this permission notice appear in all copies."
+        " granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        license_texts.ISC,
     ],
     "proprietary": ["All rights reserved.", "All rights reserved. No part of this text may be reproduced without permission."],
 }
@@ -72,57 +77,117 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bigrams(data, np.array([0, len(data)]))[0], return_counts=True)
 
 
-def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of all lines, of all paragraphs of several lines, and of all whole texts."""
-    begin, end = runs(data != 10, bounds)
-    row = np.searchsorted(bounds, begin, side="right") - 1
-    # Lines belong together if one line end and nothing else lies between them.
-    joined = np.concatenate([[False], (begin[1:] == end[:-1] + 1) & (row[1:] == row[:-1])]) if len(begin) else np.zeros(0, bool)
-    head = np.flatnonzero(~joined)
-    tail = np.append(head[1:] - 1, len(begin) - 1) if len(head) else head
-    several = tail > head
-    whole = np.diff(bounds) > 0
-    return (
-        np.concatenate([begin, begin[head][several], bounds[:-1][whole]]),
-        np.concatenate([end, end[tail][several], bounds[1:][whole]]),
-    )
-
-
-def matches(data: np.ndarray, bounds: np.ndarray, bags: list[tuple[str, np.ndarray, np.ndarray]], dice: float) -> list[tuple[int, str, float]]:
-    """(row, licence, coefficient) of every unit's best template that reaches `dice`."""
-    pair, _, first, last = bigrams(data, bounds)
-    known = np.unique(np.concatenate([b[1] for b in bags]))
-    hit = np.isin(pair, known)
-    if not hit.any():
+class _Places:
+    """The bigrams of one template among those of a slice, and the passages they make.
+
+    `at` are their places in the slice, `name` says which of the template's
+    bigrams each is, and `stop` where its text ends.
+    """
+
+    def __init__(self, at: np.ndarray, name: np.ndarray, stop: np.ndarray, counts: np.ndarray, dice: float):
+        self.at, self.n, self.dice = at, int(counts.sum()), dice
+        self.longest = math.floor((2 - dice) / dice * self.n + 1e-9)
+        need = max(1, math.ceil(dice / (2 - dice) * self.n - 1e-9))
+        self.starts = at[:0]
+        if len(at) < need:
+            return
+        # Places up to which a passage may go: of its text, and not beyond the greatest size (or twice that).
+        text = np.searchsorted(at, stop)
+        self.stop = np.minimum(text, np.searchsorted(at, at + self.longest))
+        self.wide = np.minimum(text, np.searchsorted(at, at + 2 * self.longest))
+        self.starts = np.flatnonzero(self.stop - np.arange(len(at)) >= need)
+        if not len(self.starts):
+            return
+        # A place counts in a passage unless the passage holds as many earlier ones of its bigram as the template.
+        order = np.argsort(name, kind="stable")
+        source = np.arange(len(order)) - counts[name[order]]
+        same = (source >= 0) & (name[order[source]] == name[order])
+        self.before = np.full(len(at), -1)
+        self.before[order[same]] = order[source[same]]
+
+    def _from(self, i: int, end: int, target: float) -> tuple[float, int, int]:
+        """Best passage from place i on, before place `end`: coefficient and last place; and the next start worth a look."""
+        wide = min(int(self.wide[i]), end)
+        twice = 2 * np.cumsum(self.before[i:wide] < i)
+        sizes = self.at[i:wide] - self.at[i] + 1 + self.n
+        values = (twice / sizes)[: min(int(self.stop[i]), end) - i]
+        last = int(values.argmax())
+        value = float(values[last])
+        # A passage that begins d bigrams later and ends alike has no more in common and is d shorter.
+        shift = min(float((sizes - twice / max(target, value)).min()) - 1e-6, self.longest)
+        after = int(np.searchsorted(self.at, self.at[i] + shift, side="right"))
+        return value, i + last, max(after, i + 1)
+
+    def passages(self) -> Iterator[tuple[int, int, float]]:
+        """First and last place and coefficient of passages that reach `dice` and do not overlap.
+
+        Any other passage that reaches it overlaps one of these that is as good or better.
+        """
+        todo = [(0, len(self.at))]
+        while todo and len(self.starts):
+            lo, end = todo.pop()
+            first, best, reach = None, None, end
+            while True:
+                k = int(np.searchsorted(self.starts, lo))
+                if k == len(self.starts) or self.starts[k] >= reach:
+                    break
+                i = int(self.starts[k])
+                value, last, lo = self._from(i, end, best[2] if best else self.dice)
+                if value >= self.dice and (best is None or value > best[2]):
+                    first, best, reach = i if first is None else first, (i, last, value), last + 1
+            if best:
+                yield best
+                todo.append((best[1] + 1, end))
+                if first < best[0]:
+                    todo.append((first, best[0]))
+
+
+class Bags:
+    """Bigrams of all templates, and of each template its licence, its bigrams' numbers and counts."""
+
+    def __init__(self, templates: dict[str, list[str]]):
+        bags = [(name, *_bag(text)) for name, texts in sorted(templates.items()) for text in texts]
+        self.known = np.unique(np.concatenate([members for _, members, _ in bags]))
+        self.each = []
+        for licence, members, counts in bags:
+            number = np.full(len(self.known), -1, np.int32)
+            number[np.searchsorted(self.known, members)] = np.arange(len(members))
+            if len(members):
+                self.each.append((licence, number, counts))
+
+
+def matches(data: np.ndarray, bounds: np.ndarray, bags: Bags, dice: float) -> list[tuple[int, str, float]]:
+    """(row, licence, coefficient) of the passages of all templates that reach `dice`.
+
+    Those with most in common come first.  Of the others those go that share
+    more than half of what they have in common with passages before them, as a
+    notice of version 2 does in one of version 3, or a notice quoted in a text.
+    """
+    pair, row, _, _ = bigrams(data, bounds)
+    if not len(pair) or not len(bags.known):
         return []
-    hits = np.concatenate([[0], np.cumsum(hit)])
-    begin, end = units(data, bounds)
-    a, b = np.searchsorted(first, begin), np.searchsorted(last, end, side="right")
-    size = np.maximum(b - a, 0)
-    low = min(dice / (2 - dice) * t[2].sum() for t in bags)
-    high = max((2 - dice) / dice * t[2].sum() for t in bags)
-    # Common bigrams are at most the unit's hits: 2 * hits / (size + template) must reach the bound.
-    near = (size >= low) & (size <= high) & (2 * (hits[np.maximum(b, a)] - hits[a]) >= dice * (size + 1))
+    place = np.minimum(np.searchsorted(bags.known, pair), len(bags.known) - 1)
+    at = np.flatnonzero(bags.known[place] == pair)
+    known, stop = place[at], np.searchsorted(row, row[at], side="right")
     found = []
-    for u in np.flatnonzero(near).tolist():
-        names, times = np.unique(pair[a[u] : b[u]], return_counts=True)
-        best = None
-        for licence, members, counts in bags:
-            n = counts.sum()
-            if not dice * (size[u] + n) <= 2 * min(size[u], n):
-                continue
-            at = np.minimum(np.searchsorted(members, names), len(members) - 1)
-            common = np.minimum(times, counts[at])[members[at] == names].sum()
-            value = 2 * common / (size[u] + n)
-            if value >= dice and (best is None or value > best[1]):
-                best = licence, float(value)
-        if best:
-            found.append((int(np.searchsorted(bounds, begin[u], side="right")) - 1, *best))
-    return found
+    for licence, number, counts in bags.each:
+        name = number[known]
+        own = name >= 0
+        places = _Places(at[own], name[own], stop[own], counts, dice)
+        for first, last, value in places.passages():
+            common = places.at[first : last + 1][places.before[first : last + 1] < first]
+            found.append((-len(common), -value, licence, int(common[0]), common))
+    taken = np.zeros(len(pair), bool)
+    kept = []
+    for _, value, licence, begin, common in sorted(found, key=lambda x: x[:4]):
+        if 2 * np.count_nonzero(taken[common]) <= len(common):
+            taken[common] = True
+            kept.append((int(row[begin]), licence, -value))
+    return kept
 
 
 def _scan(templates: dict[str, list[str]], dice: float):
-    bags = [(name, *_bag(text)) for name, texts in sorted(templates.items()) for text in texts]
+    bags = Bags(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +215,13 @@ def _scan(templates: dict[str, list[str]], dice: float):
 def scan_licenses(
     docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, dice: float = DICE
 ) -> DataFrame:
-    """One row per document: key, license (best, null: none), dice, licenses (all found), n_matches (units).
+    """One row per document: key, license (best, null: none), dice, licenses (all found), n_matches (passages).
 
-    A unit is a line, a paragraph of several lines, or the whole text.  It
-    matches its best template if their coefficient is at least `dice`.  Equal
-    coefficients take the first name.
+    A passage is a run of words anywhere in a text, over line ends as well.  It
+    matches a template if their coefficient is at least `dice`.  Of overlapping
+    passages of a template the best counts; of those of several templates the
+    one with most bigrams in common, and others if at least half of theirs are
+    not among those.  Equal coefficients take the first name.
 
     Null and empty texts, and those of fewer than two words, match nothing.
     Repeated rows match alike; a null key stays null.  Other columns are not

@@ -52,7 +52,7 @@ def op1_language_id(spark, d):
 
 @query
 def op2_license_scan(spark, d):
-    """Licences named or quoted in lines, paragraphs or the whole of each document."""
+    """Licences named or quoted anywhere in each document."""
     return license_scan.scan_licenses(table(spark, d, "documents"))
 
 

@@ -191,3 +191,55 @@ def test_licence_notices_of_documents(spark):
     assert set().union(*plain.values()) == set(notices.values())
     for r in license_scan.scan_licenses(docs).collect():
         assert set(r.licenses) == plain[r.doc_id] and (r.license is not None) == bool(r.licenses)
+
+
+def test_licences_inside_longer_units(spark):
+    prose = "Some other words that fill the line and say nothing of any kind about terms of use at all. "
+    full = license_scan.TEMPLATES["GPL-3.0"][1], license_scan.TEMPLATES["BSD-3-Clause"][1]
+    permission = license_scan.TEMPLATES["MIT"][2]
+    texts = {
+        prose + "Released under the MIT License. " + prose: ["MIT"],
+        prose + permission + " " + prose: ["MIT"],
+        prose * 5 + " ".join(full[0].split()) + prose * 5: ["GPL-3.0"],
+        full[0]: ["GPL-3.0"],
+        full[0].replace("software", "program", 20): ["GPL-3.0"],
+        prose + full[1] + prose + "Licensed under CC BY-NC 4.0, " + prose: ["BSD-3-Clause", "CC-BY-NC-4.0"],
+        prose + "This work is licensed under the GNU General Public License, version 2, " + prose: ["GPL-2.0"],
+        prose + "All rights. Reserved seats under the license of the town.": ["proprietary"],
+        prose * 3: [],
+    }
+    for licence, wordings in license_scan.TEMPLATES.items():
+        texts |= {prose + wording + " " + prose: [licence] for wording in wordings}
+    table = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(table).collect()}
+    for k, (text, licences) in enumerate(texts.items()):
+        assert got[k].licenses == licences, text[:200]
+        assert got[k].n_matches == len(licences)
+
+
+def test_passages_against_all_runs_of_words():
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    random.seed(3)
+    for _ in range(300):
+        template = Counter(random.choices("abcdef", k=random.randint(1, 9)))
+        names = sorted(template)
+        text = "".join(random.choices("abcdefxyz", k=random.randint(1, 40)))
+        cut = random.randint(0, len(text))  # two texts, of which no passage holds parts of both
+        at = np.array([i for i, c in enumerate(text) if c in template], int)
+        stop = np.where(at < cut, cut, len(text))
+        counts = np.array([template[c] for c in names])
+        places = license_scan._Places(at, np.array([names.index(text[i]) for i in at], int), stop, counts, 0.8)
+        got = [(int(at[a]), int(at[b]), v) for a, b, v in places.passages()]
+        every = {}
+        for a in range(len(text)):
+            for b in range(a, cut if a < cut else len(text)):
+                part = Counter(text[a : b + 1])
+                every[a, b] = 2 * sum((part & template).values()) / (b - a + 1 + template.total())
+        assert all(every[a, b] == v for a, b, v in got)
+        assert all(x[1] < y[0] for x, y in zip(sorted(got), sorted(got)[1:], strict=False))
+        for (a, b), v in every.items():
+            assert v < 0.8 or any(a <= y and x <= b and w >= v for x, y, w in got)
