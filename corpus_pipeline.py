@@ -12,7 +12,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -28,21 +28,30 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs)
 
 
+def row_key() -> Column:
+    """A number for each pair of id and text, never null; rows equal in both share it."""
+    return F.xxhash64("doc_id", "text")
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id.
 
-    Of repeated rows of that id one stays.  Documents without words or without an id stay.
+    Rows of one id with different texts are documents of their own; in one group
+    the one with the smaller row key stays.  Of rows equal in id and text one
+    stays.  Documents without words or without an id stay.
     """
     release()
-    groups = jaccard_join.jaccard_groups(docs, words=5, percent=80)
-    groups = Work(spark).save(groups)
-    stays = (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
-    gone = groups.filter(~stays).select("doc_id")
-    twice = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    named = without(docs.filter("doc_id IS NOT NULL"), gone, "doc_id")
-    once = misses(named, twice, "doc_id")
-    rest = meets(named, twice, "doc_id").dropDuplicates(["doc_id"])
-    return once.unionByName(rest).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    rows = docs.withColumn("_row", row_key())
+    # Ordered by id, and a row without an id names a group only if all are without.
+    named = rows.withColumn("_doc", F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", F.col("_row").alias("row")))
+    groups = jaccard_join.jaccard_groups(named, key="_doc", words=5, percent=80)
+    groups = Work(spark).save(groups.filter("NOT _doc.nameless").select("_doc.row", (F.col("_doc") == F.col("component_id")).alias("stays")))
+    gone = groups.filter("NOT stays").select(F.col("row").alias("_row"))
+    twice = groups.groupBy(F.col("row").alias("_row")).count().filter("count > 1").select("_row")
+    kept = without(rows.filter("doc_id IS NOT NULL"), gone, "_row")
+    once = misses(kept, twice, "_row")
+    rest = meets(kept, twice, "_row").dropDuplicates(["_row"])
+    return once.unionByName(rest).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +66,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold passages of the benchmark."""
+    """Without documents that hold passages of the benchmark; each text of an id is judged alone."""
     release()
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = positional_index.contamination(docs, benchmark).filter("contaminated").select("doc_id")
-    return without(docs, Work(spark).save(bad), "doc_id").select(*docs.columns)
+    rows = docs.withColumn("_row", row_key())
+    bad = positional_index.contamination(rows, benchmark, key="_row").filter("contaminated").select("_row")
+    return without(rows, Work(spark).save(bad), "_row").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

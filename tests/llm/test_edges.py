@@ -243,3 +243,26 @@ def test_passages_against_all_runs_of_words():
         assert all(x[1] < y[0] for x, y in zip(sorted(got), sorted(got)[1:], strict=False))
         for (a, b), v in every.items():
             assert v < 0.8 or any(a <= y and x <= b and w >= v for x, y, w in got)
+
+
+def words_from(seed, n=60):
+    import random
+
+    return " ".join(random.Random(seed).choices([f"w{k}" for k in range(5000)], k=n))
+
+
+def test_pipeline_tells_texts_of_one_id_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    copied, passage = words_from(1), words_from(2, 20)
+    rows = [
+        (1, copied), (2, words_from(3)), (2, copied + " end"), (2, words_from(4)), (2, words_from(4)), (3, words_from(5)),
+        (3, words_from(6) + " " + passage), (4, copied + " more"), (5, words_from(7)), (5, words_from(7) + " end"), (6, None), (None, copied),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.without_near_copies(spark, docs, str(tmp_path)).collect()
+    assert {tuple(r) for r in got if r.doc_id != 5} == {x for x in rows if x not in ((2, copied + " end"), (4, copied + " more")) and x[0] != 5}
+    assert sum(r.doc_id == 5 for r in got) == 1 and len(got) == 8
+    spark.createDataFrame([("a", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()
+    assert len(got) == len(rows) - 1 and {tuple(r) for r in got} == set(rows) - {rows[6]}
