@@ -5,7 +5,10 @@ log P(language | row) = a * log P(text | language) + log P(declared | language)
 
 * Text: hashed byte trigrams of the whole lower-cased text with counts from all
   labelled texts; `a` flattens the likelihood of long texts, whose trigrams are
-  not independent.  One more class has uniform trigrams: noise.
+  not independent.  One more class has uniform trigrams: noise.  A text that
+  is nearer to noise than to any labelled language may be in a language without
+  labels; it is noise unless its own trigrams recur as those of a language do, which
+  texts of some fifty letters and more can show.
 * Declared markup language and address suffix: how often each value stands on
   rows of each language, judged by text alone, over all rows.
 * Host: counts of the same judgements, smoothed towards those of its domain,
@@ -35,6 +38,10 @@ EFFECTIVE = 60.0  # trigrams that count in full; more add less and less
 STRENGTH = 20.0  # rows a parent level counts as in the smoothing of a host
 PSEUDO = 1.0
 NOISE = -25.0  # log prior of noise: a short text with unusual words is not rejected
+# Chance that two trigrams of a text are equal: of random letters less than 1 / 6000, of a language more than 1 / 1000,
+# and more than 1 / 20 where little but one string is repeated.  Fewer than LEAST equal pairs show nothing.
+REPEATS = 1 / 2000, 1 / 20
+LEAST = 3
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -102,21 +109,33 @@ def text_model(labelled: DataFrame, lang: str, text: str) -> tuple[list[str], np
     return languages, model.astype(np.float32)
 
 
+def _random(slot: np.ndarray) -> bool:
+    """Whether the trigrams of a text do not recur as in a language, or are too few to show it."""
+    times = np.bincount(slot)
+    equal, pairs = int((times * (times - 1)).sum()) // 2, len(slot) * (len(slot) - 1) // 2
+    return equal < LEAST or not REPEATS[0] <= equal / pairs <= REPEATS[1]
+
+
 def _score(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros((batch.num_rows, len(model)))
             n = np.zeros(batch.num_rows, np.int64)
+            noise = np.zeros(batch.num_rows, bool)
             for begin, end, data, bounds in slices(batch.column("text"), SLICE_BYTES):
                 slot, edge = trigrams(data, bounds)
                 n[begin:end] = np.diff(edge)
                 for k in range(len(model)):
                     sums = np.concatenate([[0.0], np.cumsum(model[k][slot], dtype=np.float64)])
                     total[begin:end, k] = sums[edge[1:]] - sums[edge[:-1]]
+                if len(model) > 1:
+                    flat = total[begin:end] * (EFFECTIVE / (EFFECTIVE + n[begin:end]))[:, None]
+                    for k in np.flatnonzero(flat[:, :-1].max(axis=1) <= flat[:, -1] + NOISE + 1e-6).tolist():
+                        noise[begin + k] = _random(slot[edge[k] : edge[k + 1]])
             names = [c for c in batch.schema.names if c != "text"]
             columns = [batch.column(c) for c in names]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), len(model)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(n)], [*names, "text_log", "n_trigrams"])
+            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(n), pa.array(noise)], [*names, "text_log", "n_trigrams", "_noise"])
 
     return run
 
@@ -133,19 +152,21 @@ def identify(evidence: DataFrame, labelled: DataFrame, lang: str = "lang", text:
 
     `evidence` has the columns text, declared, host, domain, suffix (each may be
     null: no such evidence) and any others.  Rejected are rows whose text has no
-    letter, whose best class is noise, and all rows if nothing is labelled; their
-    language is 'und'.  Ties take the first language by name.
+    letter, or whose best class is noise and whose own trigrams do not show a language.
+    Other rows nearer to noise than to any label, as in a language that is not
+    labelled, and all rows if nothing is, are not rejected.  The language of both
+    kinds is 'und'.  Ties take the first language by name.
     """
     work = Work(evidence.sparkSession)
     languages, model = text_model(labelled, lang, text)
     kept = [c for c in evidence.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in evidence.select(*kept).schema)
     rows = evidence.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
-    scored = work.save(rows.mapInArrow(_score(model), f"{schema}, text_log array<double>, n_trigrams bigint"))
+    scored = work.save(rows.mapInArrow(_score(model), f"{schema}, text_log array<double>, n_trigrams bigint, _noise boolean"))
     flat = F.lit(EFFECTIVE) / (F.lit(EFFECTIVE) + F.col("n_trigrams"))
     log = [F.element_at("text_log", k + 1) * flat for k in range(len(languages) + 1)]
     if not languages:
-        plain = scored.withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "rejected": F.lit(True)})
+        plain = scored.withColumns({"language": F.lit("und"), "probability": F.lit(0.0), "rejected": F.col("n_trigrams") == 0})
         return plain.select(*kept, "language", "probability", "rejected", "n_trigrams")
 
     top = F.greatest(*log[:-1]) if len(languages) > 1 else log[0]
@@ -201,12 +222,12 @@ def identify(evidence: DataFrame, labelled: DataFrame, lang: str = "lang", text:
     place = F.array_position("_sums", best)
     named = F.element_at(F.array(*map(F.lit, languages)), place.cast("int"))
     weight = F.aggregate("_sums", F.lit(0.0), lambda total, x: total + F.exp(x - best))
-    rejected = F.col("_judged").isNull()
+    unknown = F.col("_judged").isNull()
     return joined.select(
         *kept,
-        F.when(rejected, F.lit("und")).otherwise(named).alias("language"),
-        F.when(rejected, F.lit(0.0)).otherwise(F.round(1 / weight, 9)).alias("probability"),
-        rejected.alias("rejected"),
+        F.when(unknown, F.lit("und")).otherwise(named).alias("language"),
+        F.when(unknown, F.lit(0.0)).otherwise(F.round(1 / weight, 9)).alias("probability"),
+        (unknown & ((F.col("n_trigrams") == 0) | F.col("_noise"))).alias("rejected"),
         "n_trigrams",
     )
 
@@ -236,7 +257,7 @@ def languages_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per page and per document: page_id or doc_id, declared, host, language, probability, rejected.
 
     The text model learns from the documents' labels.  Null and empty texts are
-    rejected ('und'); null addresses and declarations are no evidence; repeated
+    rejected ('und'; texts in a language without labels are 'und' and kept); null addresses and declarations are no evidence; repeated
     rows are judged alike; other columns are not read; empty tables give no rows.
     """
     none = F.lit(None).cast("bigint")
@@ -245,7 +266,7 @@ def languages_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose language is identified."""
+    """The documents, with all their columns, that are not rejected."""
     row = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     judged = identify(document_evidence(row).withColumn("_row", F.xxhash64("doc_id", "text")), docs)
     rejected = Work(docs.sparkSession).save(judged.filter("rejected").select("_row").distinct())

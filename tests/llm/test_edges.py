@@ -266,3 +266,24 @@ def test_pipeline_tells_texts_of_one_id_apart(spark, tmp_path):
     spark.createDataFrame([("a", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()
     assert len(got) == len(rows) - 1 and {tuple(r) for r in got} == set(rows) - {rows[6]}
+
+
+def test_languages_without_labels_are_kept(spark):
+    import random
+
+    draw = random.Random(9)
+    latin = (
+        "gallia est omnis divisa in partes tres quarum unam incolunt belgae aliam aquitani tertiam qui ipsorum lingua celtae nostra galli"
+        " appellantur hi omnes lingua institutis legibus inter se differunt gallos ab aquitanis garumna flumen a belgis matrona et sequana"
+        " dividit horum omnium fortissimi sunt belgae propterea quod a cultu atque humanitate provinciae longissime absunt"
+    )
+    greek = "".join(chr(0x391 + ord(c) % 26 + 24 * (c != " ")) if c != " " else c for c in latin)
+    noise = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(300))
+    labelled = [(k, " ".join(draw.choices(["the", "and", "house", "river", "under", "green", "walks"], k=3000)), "en") for k in range(5)]
+    rows = [*labelled, (10, greek, None), (11, noise, None), (12, "12 34 !", None), (13, greek[:90], None), (14, "x" * 4000, None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string").withColumn("source", F.lit("s"))
+    assert {r.doc_id for r in language_id.keep_identified(docs).collect()} == {0, 1, 2, 3, 4, 10, 13}
+    judged = {r.doc_id: (r.language, r.rejected) for r in OPERATORS["languages"](spark, docs).collect()}
+    assert judged[10] == judged[13] == ("und", False) and judged[11] == judged[14] == ("und", True) and judged[0] == ("en", False)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language_id.keep_identified(unlabelled).collect()} == {0, 1, 2, 3, 4, 10, 11, 13, 14}
