@@ -66,7 +66,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold passages of the benchmark; each text of an id is judged alone."""
+    """Without documents that hold passages of the benchmark; each text of an id is judged alone, and so are rows without an id."""
     release()
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = docs.withColumn("_row", row_key())

@@ -287,3 +287,13 @@ def test_languages_without_labels_are_kept(spark):
     assert judged[10] == judged[13] == ("und", False) and judged[11] == judged[14] == ("und", True) and judged[0] == ("en", False)
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in language_id.keep_identified(unlabelled).collect()} == {0, 1, 2, 3, 4, 10, 11, 13, 14}
+
+
+def test_contaminated_row_without_id_goes(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = words_from(8, 20)
+    spark.createDataFrame([("a", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, "so " + passage), (None, words_from(9)), (1, words_from(10)), (None, None)], SCHEMA)
+    got = {tuple(r) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()}
+    assert got == {(None, words_from(9)), (1, words_from(10)), (None, None)}
