@@ -202,6 +202,10 @@ sql("approach_stats", "approaches", """
            COUNT(*) FILTER (WHERE is_potentially_hazardous) AS hazardous_approaches
     FROM approaches""")
 
+sql("estimated_objects", "approaches", """
+    SELECT CAST(YEAR(close_approach_date) AS INTEGER) AS year, COUNT(*) AS n_records, true AS is_near FROM approaches GROUP BY 1
+    UNION ALL SELECT NULL, COUNT(*), true FROM approaches""")
+
 sql("approach_summary", "approaches", """
     SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE is_potentially_hazardous) AS hazardous,
            ROUND(MIN(miss_distance_km), 4) AS closest_approach_km, MAX(relative_velocity_km_s) AS fastest_km_s
@@ -307,7 +311,7 @@ sql("cad_range", "cad", """
 
 sql("recent_passages", "cad", """
     SELECT asteroid_id, approach_date, ROUND(distance_au, 9) AS distance_au FROM cad
-    QUALIFY ROW_NUMBER() OVER (PARTITION BY asteroid_id ORDER BY approach_date DESC, distance_au) <= 5""")
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY asteroid_id ORDER BY approach_date DESC, distance_au) <= 50""")
 
 sql("profile_document", "approaches sbdb sentry cad esa", """
     SELECT o.asteroid_id, COALESCE(NULLIF(s.fullname, ''), o.asteroid_id) AS name, s.is_pha, s.designation,
@@ -402,6 +406,27 @@ sql("feed_documents", "approaches", """
     SELECT close_approach_date AS day, COUNT(*) AS n_messages, COUNT(DISTINCT asteroid_id) AS n_objects
     FROM approaches GROUP BY 1""")
 
+sql("feed_days", "approaches", """
+    SELECT close_approach_date AS day, asteroid_id, COUNT(*) AS n_messages, ROUND(SUM(miss_distance_km), 2) AS miss_km
+    FROM approaches GROUP BY 1, 2""")
+
+sql("row_rejects", "approaches", """
+    SELECT CASE WHEN src_order % 13 = 0 OR src_order % 17 = 0 THEN 'unreadable' WHEN src_order % 19 = 0 THEN 'missing' END AS date_fault,
+           CASE WHEN src_line = 5 THEN 'missing' END AS id_fault, COUNT(*) AS n_rows
+    FROM approaches GROUP BY 1, 2""")
+
+sql("published_keys", "approaches", """
+    SELECT CAST(close_approach_date AS VARCHAR) AS key, COUNT(*) AS n_messages, COUNT(DISTINCT asteroid_id) AS n_objects, true AS agrees
+    FROM approaches GROUP BY 1""")
+
+sql("record_hashes", "", """
+    SELECT p_partkey AS id, md5(
+        's' || '10:attributes' || 'm2:' || least(a, b) || greatest(a, b) || '2:id' || 'v' || length(CAST(p_partkey AS VARCHAR)) || ':' || p_partkey
+        || '8:measured' || 's' || '4:mark' || CASE WHEN p_size % 3 = 0 THEN 'v0:' ELSE 'n' END
+        || '4:size' || 'v' || length(CAST(p_size AS VARCHAR)) || ':' || p_size
+        || '5:parts' || CASE WHEN p_size % 5 = 0 THEN 'n' ELSE 'a3:v' || length(p_name) || ':' || p_name || 'n' || 'v2:||' END) AS hash
+    FROM (SELECT *, 'v1:bv' || length(p_type) || ':' || p_type AS b, 'v5:a||1:v' || length(p_brand) || ':' || p_brand AS a FROM part)""")
+
 sql("malformed_messages", "", """
     SELECT CASE WHEN l_partkey % 5 = 0 THEN 'malformed' WHEN l_partkey % 7 = 0 THEN 'no asteroid' ELSE 'good' END AS verdict,
            COUNT(*) AS n_messages
@@ -416,6 +441,15 @@ sql("sbdb_bulk", "", """
            CASE WHEN p_size % 4 <> 0 THEN 17.25e0 END AS absolute_magnitude_h
     FROM part WHERE p_size <> 13""")
 
+sql("bulk_documents", "", """
+    SELECT (1990 + p_partkey % 30) || ' AB' || p_partkey AS designation, CAST(20000000 + p_partkey AS VARCHAR) AS spkid,
+           p_name AS fullname, p_size % 2 = 0 AS is_neo, p_size > 40 AS is_pha,
+           CASE WHEN p_size % 6 = 0 THEN 'APO' ELSE 'AMO' END AS orbit_class,
+           ROUND((p_size % 10) / 10.0e0, 9) AS eccentricity,
+           CASE WHEN p_size % 4 <> 0 AND p_size % 3 <> 0 THEN p_size END AS n_obs_used,
+           CASE WHEN p_size % 4 <> 0 THEN 17.25e0 END AS absolute_magnitude_h
+    FROM part WHERE p_size <> 13""")
+
 sql("zip_fields", "", """
     SELECT p_partkey AS payload, CASE WHEN p_size = 13 THEN '' ELSE (1990 + p_partkey % 30) || ' AB' || p_partkey END AS pdes,
            CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS full_name,
@@ -514,11 +548,8 @@ sql("index_collisions", "sbdb", """
         UNION ALL SELECT LOWER(fullname), asteroid_id, row_no FROM sbdb)
     GROUP BY key HAVING COUNT(*) > 1""")
 
-sql("resolve_profiles", "orbit_hits holds sentry esa", f"""
-    , held AS (SELECT asteroid_id, bool_or(source = 'JPL_SBDB') AS s, bool_or(source = 'JPL_Sentry') AS r,
-                      bool_or(source = 'JPL_CAD') AS c, bool_or(source = 'ESA_NEOCC') AS e FROM holds GROUP BY asteroid_id),
-    hits AS (SELECT h.* FROM orbit_hits h LEFT JOIN held USING (asteroid_id) WHERE held.s IS NOT TRUE),
-    ext AS ({EXTENDED.format(hits="hits")}),
+# The catalogues behind the orbits, by the candidates in `ext` (asteroid_id, pos, cand) and the orbit hits in `hits`.
+OTHERS = """
     norm AS (SELECT *, LOWER(translate(cand, '()''', '')) AS key FROM ext),
     risk AS (
         SELECT n.asteroid_id, r.status, n.cand, n.key, r.fullname FROM norm n
@@ -532,10 +563,16 @@ sql("resolve_profiles", "orbit_hits holds sentry esa", f"""
     listed AS (
         SELECT n.asteroid_id, k.key FROM norm n
         JOIN list_keys k ON REPLACE(k.key, ' ', '') = REPLACE(n.key, ' ', '')
-        QUALIFY ROW_NUMBER() OVER (PARTITION BY n.asteroid_id ORDER BY n.pos) = 1)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY n.asteroid_id ORDER BY n.pos) = 1)"""
+
+HELD = """
+    , held AS (SELECT asteroid_id, bool_or(source = 'JPL_SBDB') AS s, bool_or(source = 'JPL_Sentry') AS r,
+                      bool_or(source = 'JPL_CAD') AS c, bool_or(source = 'ESA_NEOCC') AS e FROM holds GROUP BY asteroid_id)"""
+
+PROFILES = """
     SELECT o.asteroid_id,
            (SELECT array_to_string(list(cand ORDER BY pos), '|') FROM ext e WHERE e.asteroid_id = o.asteroid_id) AS candidates,
-           hits.sbdb_id,
+           hits.sbdb_id, {more}
            CASE WHEN held.r IS NOT TRUE THEN COALESCE(risk.status, 'not_found') END AS sentry_status,
            CASE WHEN held.r IS NOT TRUE THEN COALESCE(risk.cand,
                 (SELECT MIN_BY(cand, pos) FROM ext e WHERE e.asteroid_id = o.asteroid_id)) END AS sentry_designation,
@@ -545,7 +582,52 @@ sql("resolve_profiles", "orbit_hits holds sentry esa", f"""
            CASE WHEN held.e IS NOT TRUE THEN listed.key IS NOT NULL END AS on_risk_list,
            CASE WHEN held.e IS NOT TRUE THEN listed.key END AS esa_key
     FROM objects o LEFT JOIN held USING (asteroid_id) LEFT JOIN hits USING (asteroid_id) LEFT JOIN risk USING (asteroid_id)
-    LEFT JOIN near USING (asteroid_id) LEFT JOIN listed USING (asteroid_id)""")
+    LEFT JOIN near USING (asteroid_id) LEFT JOIN listed USING (asteroid_id)"""
+
+sql("resolve_profiles", "orbit_hits holds sentry esa", f"""{HELD},
+    hits AS (SELECT h.* FROM orbit_hits h LEFT JOIN held USING (asteroid_id) WHERE held.s IS NOT TRUE),
+    ext AS ({EXTENDED.format(hits="hits")}),{OTHERS}{PROFILES.format(more="")}""")
+
+# Responses to the misses of the first pass, by identifier, and the tries up to the first answer.
+LANDED = """
+    landed AS (
+        SELECT CAST(p_partkey AS VARCHAR) AS lookup_value, CASE WHEN p_size % 4 < 2 THEN 200 ELSE 404 END AS http_status,
+               p_size % 4 = 0 AS ok, CASE WHEN p_size % 8 < 4 THEN (1990 + (p_partkey + 1) % 30) || ' AB' || (p_partkey + 1) END AS des,
+               CAST(p_partkey + 30000000 AS VARCHAR) AS spkid FROM part
+        UNION ALL
+        SELECT (1990 + p_partkey % 30) || ' AB' || p_partkey, CASE WHEN p_size % 4 < 3 THEN 200 ELSE 503 END, p_size % 4 < 3,
+               (1990 + p_partkey * 2 % 30) || ' AB' || (p_partkey * 2), CAST(p_partkey AS VARCHAR) FROM part),
+    met AS (
+        SELECT t.asteroid_id, t.try_no, l.* FROM (
+            SELECT asteroid_id, cand, ROW_NUMBER() OVER (PARTITION BY asteroid_id ORDER BY pos) - 1 AS try_no FROM (
+                SELECT * FROM tries WHERE cand <> '' QUALIFY ROW_NUMBER() OVER (PARTITION BY asteroid_id, cand ORDER BY pos) = 1)) t
+        JOIN landed l ON l.lookup_value = t.cand
+        LEFT JOIN held h USING (asteroid_id) ANTI JOIN orbit USING (asteroid_id) WHERE h.s IS NOT TRUE),
+    first_answer AS (SELECT asteroid_id, MIN(try_no) AS n FROM met WHERE ok GROUP BY asteroid_id),
+    answers AS (SELECT m.* FROM met m JOIN first_answer f ON f.asteroid_id = m.asteroid_id AND f.n = m.try_no)"""
+
+sql("resolve_second_pass", "orbit_hits holds sentry esa", f"""{HELD},
+    orbit AS (SELECT h.* FROM orbit_hits h LEFT JOIN held USING (asteroid_id) WHERE held.s IS NOT TRUE),{LANDED},
+    hits AS (
+        SELECT asteroid_id, sbdb_id, designation, spkid, CAST(NULL AS VARCHAR) AS answered_by FROM orbit
+        UNION ALL SELECT asteroid_id, NULL, des, spkid, lookup_value FROM answers),
+    ext AS (
+        SELECT t.asteroid_id, t.pos, t.cand FROM tries t LEFT JOIN hits h USING (asteroid_id)
+        WHERE t.cand <> '' AND t.cand IS DISTINCT FROM h.designation
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY t.asteroid_id, t.cand ORDER BY t.pos) = 1
+        UNION ALL SELECT asteroid_id, -1, designation FROM hits WHERE designation IS NOT NULL
+        UNION ALL SELECT asteroid_id, 9, spkid FROM hits h
+        WHERE spkid IS DISTINCT FROM designation
+          AND NOT EXISTS (SELECT 1 FROM tries t WHERE t.asteroid_id = h.asteroid_id AND t.cand = h.spkid)
+    ),{OTHERS}{PROFILES.format(more="hits.answered_by,")}""")
+
+sql("gap_fill_tries", "orbit_hits holds", f"""{HELD},
+    orbit AS (SELECT h.* FROM orbit_hits h LEFT JOIN held USING (asteroid_id) WHERE held.s IS NOT TRUE),{LANDED}
+    SELECT m.asteroid_id, CAST(m.try_no AS INTEGER) AS try_no, m.lookup_value, COALESCE(m.try_no = f.n, false) AS is_answer,
+           m.http_status AS status_code,
+           CASE WHEN m.http_status = 404 THEN 'not_found' WHEN m.http_status = 503 THEN 'server_error'
+                WHEN NOT m.ok THEN 'invalid_json' END AS last_failure_type
+    FROM met m LEFT JOIN first_answer f USING (asteroid_id) WHERE f.n IS NULL OR m.try_no <= f.n""")
 
 sql("risk_name_lookup", "", """
     WITH known AS (
@@ -562,7 +644,7 @@ sql("risk_name_lookup", "", """
 sql("removed_names", "objects sentry", """
     SELECT o.asteroid_id FROM objects o JOIN sentry r ON r.asteroid_id = o.asteroid_id WHERE r.status = 'removed'""")
 
-sql("identifier_cascade", "approaches sbdb sentry", """
+CASCADE = """
     , q AS (SELECT p_partkey AS query_id, CASE p_partkey % 8
             WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN (1990 + p_partkey % 30) || ' AB' || p_partkey
             WHEN 2 THEN CAST(20000000 + p_partkey AS VARCHAR)
@@ -577,8 +659,37 @@ sql("identifier_cascade", "approaches sbdb sentry", """
         UNION ALL SELECT query, 2, asteroid_id FROM asked JOIN sbdb ON designation = query OR spkid = query
         UNION ALL SELECT query, 3, asteroid_id FROM asked JOIN sentry ON designation = query OR fullname ILIKE '%' || query || '%'
         UNION ALL SELECT query, 4, asteroid_id FROM asked JOIN named ON asteroid_id = query OR name ILIKE '%' || query || '%'),
-    best AS (SELECT * FROM hits QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY level, asteroid_id) = 1)
-    SELECT q.query_id, q.query, best.level, best.asteroid_id FROM q LEFT JOIN best ON best.query = q.query""")
+    best AS (SELECT * FROM hits QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY level, asteroid_id) = 1),
+    answers AS (SELECT q.query_id, q.query, best.level, best.asteroid_id FROM q LEFT JOIN best ON best.query = q.query)"""
+
+sql("identifier_cascade", "approaches sbdb sentry", CASCADE + " SELECT * FROM answers")
+
+sql("cascade_outcomes", "approaches sbdb sentry", CASCADE + """,
+    outside AS (
+        SELECT 'X' || c_custkey AS des, CASE WHEN c_custkey % 2 = 0 THEN 'No Such OBJECT ' || c_custkey ELSE c_name END AS name,
+               CASE WHEN c_custkey % 2 = 0 THEN 'no such object ' || c_custkey END AS k1,
+               CASE WHEN c_custkey % 3 = 0 THEN 'no such object ' || (c_custkey + 1) END AS k2
+        FROM customer),
+    outside_keys AS (
+        SELECT key, MIN(des) AS des FROM (SELECT k1 AS key, des FROM outside UNION ALL SELECT k2, des FROM outside
+                                          UNION ALL SELECT LOWER(des), des FROM outside) GROUP BY key)
+    SELECT a.query_id, a.level,
+           CASE WHEN a.level IS NOT NULL THEN 'ingested' WHEN k.des IS NOT NULL THEN 'catalogue_only' ELSE 'pending' END AS outcome,
+           k.des AS catalogue_designation, o.name AS catalogue_name
+    FROM answers a LEFT JOIN outside_keys k ON k.key = LOWER(a.query) AND a.level IS NULL LEFT JOIN outside o ON o.des = k.des""")
+
+sql("wildcard_names", "objects", r"""
+    , asked AS (
+        SELECT DISTINCT CASE p_partkey % 8
+            WHEN 0 THEN repeat('_', p_size + 10) WHEN 1 THEN '%' || repeat('_%', p_size) WHEN 2 THEN '%%'
+            WHEN 3 THEN '\%' || repeat('_', p_size % 3) WHEN 4 THEN 'A\_'
+            WHEN 5 THEN substring(p_name, 1, 3) || '_' || substring(p_name, 5, 2)
+            WHEN 6 THEN '100\%' || repeat('%', p_size % 2) ELSE substring(p_name, 1, 4) || '\\' END AS query
+        FROM part),
+    labels AS (
+        SELECT asteroid_id, name || CASE WHEN CAST(asteroid_id AS BIGINT) % 5 = 0 THEN ' 100%'
+                                         WHEN CAST(asteroid_id AS BIGINT) % 7 = 0 THEN ' a_b' ELSE '' END AS label FROM objects)
+    SELECT query, MIN(asteroid_id) AS asteroid_id FROM asked JOIN labels ON label ILIKE '%' || query || '%' ESCAPE '\' GROUP BY query""")
 
 SEARCH = """
     SELECT asteroid_id, name, is_potentially_hazardous, ROUND(estimated_diameter_km_max, 9) AS estimated_diameter_km_max,
@@ -693,6 +804,10 @@ sql("envelope_route_counts", "orbit_hits holds fireball", PARTS.format(cad="*"))
 
 sql("stream_agencies", "orbit_hits holds fireball", PARTS.format(cad="DISTINCT (asteroid_id, day)"))
 
+sql("ingest_measured", "orbit_hits holds fireball", """
+    SELECT source, count AS n_inserted, true AS agrees, true AS timed, CAST(0 AS BIGINT) AS n_rejected FROM ("""
+    + PARTS.format(cad="DISTINCT (asteroid_id, day)").replace("    , held AS", "    WITH held AS", 1) + ")")
+
 sql("envelope_risk_rows", "objects holds sentry", """
     , open_ AS (SELECT asteroid_id FROM objects ANTI JOIN (SELECT * FROM holds WHERE source = 'JPL_Sentry') USING (asteroid_id))
     SELECT COALESCE(r.status, 'not_found') AS status, COUNT(*) AS n_rows, COUNT(DISTINCT o.asteroid_id) AS n_designations

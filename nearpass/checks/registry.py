@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpass.functions import dates, numbers, risk, text
-from nearpass.functions.fetches import classify_fetches
-from nearpass.functions.hashing import row_hash
-from nearpass.operators import cascade, changes, keyed, lookup, resolve
+from nearpass.functions.fetches import classify_fetches, response_outcome
+from nearpass.functions.hashing import record_hash, row_hash
+from nearpass.operators import cascade, changes, keyed, lookup, matching, resolve
 from nearpass.operators.zscore import zscore
 from nearpass.plans import metrics, profiles, search, views, watch, windows, worklist
 from nearpass.schemas import APPROACH, FETCH_STATUS, ORBIT, PASSAGE, RISK, RISK_LIST, WINDOW_LEDGER
@@ -28,8 +28,9 @@ from nearpass.sinks.publish import approach_key, publish, to_keyed_json
 from nearpass.sources import approaches as feed
 from nearpass.sources import agencies, bridge, impact_risk, orbits, passages, risk_list, tables
 from nearpass.sources.fireballs import parse_fireballs
-from nearpass.sources.matrix import zip_fields_rows
+from nearpass.sources.matrix import MATRIX_SCHEMA, zip_fields_rows
 from nearpass.streaming import agency_stream, approach_stream, progress
+from nearpass.streaming.measures import IngestLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +84,22 @@ def approach_stats(spark, d):
     return metrics.approach_stats(bridge.approaches(spark, d))
 
 
+@query
+def estimated_objects(spark, d):
+    """Distinct objects per year and in all by sketches that were merged from two halves: within 5 % of the exact number?"""
+    approaches = bridge.approaches(spark, d)
+    half = F.col("src_order") % 2 == 0
+    sketches = metrics.merge_sketches(metrics.object_sketches(approaches.filter(half)), metrics.object_sketches(approaches.filter(~half)))
+    sketches = materialise(sketches)
+    exact = approaches.groupBy(F.year("close_approach_date").alias("year")).agg(F.count_distinct("asteroid_id").alias("exact"))
+    years = sketches.join(exact, "year").select("year", "n_records", F.hll_sketch_estimate("objects").alias("estimate"), "exact")
+    whole = metrics.estimated_objects(sketches).crossJoin(approaches.agg(F.count_distinct("asteroid_id").alias("exact"))).select(
+        F.lit(None).cast("int").alias("year"), F.col("total_records").alias("n_records"), F.col("unique_asteroids").alias("estimate"), "exact"
+    )
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    return years.unionByName(whole).select("year", "n_records", near.alias("is_near"))
+
+
 @query
 def approach_summary(spark, d):
     return tidy(metrics.approach_summary(bridge.approaches(spark, d)), closest_approach_km=4)
@@ -200,7 +217,7 @@ def cad_range(spark, d):
 
 @query
 def recent_passages(spark, d):
-    return tidy(profiles.recent_passages(bridge.passages(spark, d), 5).select("asteroid_id", "approach_date", "distance_au"))
+    return tidy(profiles.recent_passages(bridge.passages(spark, d)).select("asteroid_id", "approach_date", "distance_au"))
 
 
 def _profile_documents(spark, d):
@@ -367,6 +384,20 @@ def row_hashes(spark, d):
     )
 
 
+@query
+def record_hashes(spark, d):
+    """Hashes of nested records: maps in any order, nulls, texts that look like borders."""
+    number, size = F.col("p_partkey"), F.col("p_size")
+    pairs = [F.struct(F.lit("b").alias("k"), F.col("p_type").alias("v")), F.struct(F.lit("a||1:").alias("k"), F.col("p_brand").alias("v"))]
+    records = bridge.table(spark, d, "part").select(
+        number.alias("id"),
+        F.when(number % 2 == 0, F.map_from_entries(F.array(*pairs))).otherwise(F.map_from_entries(F.array(*pairs[::-1]))).alias("attributes"),
+        F.when(size % 5 != 0, F.array(F.col("p_name"), F.lit(None), F.lit("||"))).alias("parts"),
+        F.struct(size.alias("size"), F.when(size % 3 == 0, F.lit("")).alias("mark")).alias("measured"),
+    )
+    return records.select("id", record_hash(records).alias("hash"))
+
+
 # --- readers --------------------------------------------------------------------------------
 
 def _parsed(texts: DataFrame, schema: str, *keep: str) -> DataFrame:
@@ -408,6 +439,54 @@ def feed_documents(spark, d):
     )
 
 
+@query
+def feed_days(spark, d):
+    """Feed documents of many days and many objects a day, as JSON text, back to messages."""
+    order = F.col("asteroid.close_approach_data")[0]["epoch_date_close_approach"]
+    messages = _approach_messages(spark, d).withColumn("document", F.floor(order / ROWS_PER_DOCUMENT))
+    by_day = messages.groupBy("document", "date").agg(F.collect_list("asteroid").alias("objects"))
+    by_document = by_day.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("date", "objects"))).alias("near_earth_objects"))
+    texts = by_document.select(F.to_json(F.struct("near_earth_objects")).alias("value"))
+    back = feed.flatten_messages(feed.feed_to_messages(_parsed(texts, feed.FEED_SCHEMA)))
+    return back.groupBy(F.col("close_approach_date").cast("date").alias("day"), "asteroid_id").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.round(F.sum(F.col("miss_distance_km").cast("double")), 2).alias("miss_km")
+    )
+
+
+@query
+def row_rejects(spark, d):
+    """Rows of good messages whose key cannot be stored, by what is wrong with each part of it."""
+    source = F.col("src_order")
+    broken = bridge.approaches(spark, d, heavy=True).withColumns(
+        {
+            "close_approach_date": F.when(source % 13 == 0, F.concat(F.col("close_approach_date").cast("string"), F.lit("T99")))
+            .when(source % 17 == 0, F.lit("1998-02-30")).when(source % 19 != 0, F.col("close_approach_date").cast("string")),
+            "asteroid_id": F.when(F.col("src_line") != 5, F.col("asteroid_id")),
+        }
+    )
+    raw = to_keyed_json(feed.to_messages(broken), approach_key())
+    arrived = raw.select("value", *[F.lit(0).alias(name) for name in feed.ARRIVAL])
+    good, _ = feed.split_malformed(feed.parse_messages(arrived), "asteroid")
+    checked = approach_stream.checked_rows(good)
+    return checked.groupBy(
+        F.try_element_at("faults", F.lit("close_approach_date")).alias("date_fault"),
+        F.try_element_at("faults", F.lit("asteroid_id")).alias("id_fault"),
+    ).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def published_keys(spark, d):
+    """Messages published with their keys, by date, and read back: what each key holds."""
+    path = f"{run_folder(spark)}/messages"
+    publish(to_keyed_json(_approach_messages(spark, d), approach_key(by_date=True)), "json", path=path)
+    raw = spark.read.schema("key STRING, value STRING").json(path)
+    parsed = feed.parse_messages(raw).select("key", "d.date", F.col("d.asteroid.id").alias("asteroid_id"))
+    return parsed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.count_distinct("asteroid_id").alias("n_objects"),
+        F.bool_and(F.col("key") == F.col("date")).alias("agrees"),
+    )
+
+
 @query
 def malformed_messages(spark, d):
     """Messages cut in the middle or without an object go to quarantine."""
@@ -423,6 +502,9 @@ def malformed_messages(spark, d):
     return judged.groupBy(F.coalesce("verdict", F.lit("good")).alias("verdict")).agg(F.count(F.lit(1)).alias("n_messages"))
 
 
+ROWS_PER_DOCUMENT = 400
+
+
 def _bulk_payloads(spark, d):
     """The orbit catalogue as matrix payloads, one row each, some rows short."""
     o = bridge.table(spark, d, "part")
@@ -459,6 +541,31 @@ def sbdb_bulk(spark, d):
     )
 
 
+@query
+def bulk_documents(spark, d):
+    """The same catalogue in documents of many rows, whose header the rows share; every other header stands reversed."""
+    apart = _bulk_payloads(spark, d).select(
+        F.floor(F.col("payload") / ROWS_PER_DOCUMENT).alias("document"), "payload", "fields", F.col("data")[0].alias("cells")
+    )
+    # Short rows are filled up, as a cell's place decides what it is.
+    turned = F.col("document") % 2 == 1
+    full = F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.size("fields") - F.size("cells")))
+    rows = apart.select(
+        "document", "payload", F.when(turned, F.reverse("fields")).otherwise(F.col("fields")).alias("fields"),
+        F.when(turned, F.reverse(full)).otherwise(F.col("cells")).alias("cells"),
+    )
+    documents = rows.groupBy("document").agg(
+        F.first("fields").alias("fields"), F.sort_array(F.collect_list(F.struct("payload", "cells"))).alias("rows")
+    )
+    texts = documents.select(F.to_json(F.struct("fields", F.col("rows.cells").alias("data"))).alias("value"))
+    parsed = orbits.parse_bulk(_parsed(texts, MATRIX_SCHEMA))
+    return tidy(
+        parsed.select(
+            "designation", "spkid", "fullname", "is_neo", "is_pha", "orbit_class", "eccentricity", "n_obs_used", "absolute_magnitude_h"
+        )
+    )
+
+
 @query
 def zip_fields(spark, d):
     """Matrix rows as maps; a header that names a column twice keeps the last cell."""
@@ -735,6 +842,68 @@ def resolve_profiles(spark, d):
     )
 
 
+def _landed_documents(spark, d):
+    """Responses to the identifiers of all parts: two under the number, the later
+    one decides, and one under the designation; documents, refusals and a text
+    cut in the middle."""
+    number, size = F.col("p_partkey"), F.col("p_size")
+    document = F.to_json(F.struct(F.struct(F.col("des"), F.col("spkid")).alias("object")))
+    refusal = F.lit('{"message": "no matching object"}')
+    part = bridge.table(spark, d, "part")
+    early = part.select(
+        number.cast("string").alias("lookup_value"), F.when(size % 4 == 1, 200).otherwise(404).alias("http_status"),
+        bridge.provisional(number + 5).alias("des"), F.lit("").alias("spkid"), F.lit(0).alias("checked_at"), (size % 4 == 1).alias("ok"),
+    )
+    late = part.select(
+        number.cast("string"), F.when(size % 4 < 2, 200).otherwise(404), F.when(size % 8 < 4, bridge.provisional(number + 1)),
+        (number + 30000000).cast("string"), F.lit(1), size % 4 == 0,
+    )
+    named = part.select(
+        bridge.provisional(number), F.when(size % 4 < 3, 200).otherwise(503), bridge.provisional(number * 2),
+        number.cast("string"), F.lit(0), size % 4 < 3,
+    )
+    landed = early.union(late).union(named)
+    body = F.when(F.col("ok"), document).when(F.col("http_status") == 200, F.lit('{"object": {"des"')).otherwise(refusal)
+    texts = landed.select("lookup_value", "http_status", "checked_at", body.alias("value"))
+    parsed = feed.parse_messages(texts, orbits.DOCUMENT_SCHEMA).select("lookup_value", "http_status", "checked_at", "value", "d.object")
+    return parsed.select(
+        "lookup_value", "http_status", "checked_at", F.col("value").alias("body"), F.col("object").isNotNull().alias("has_document"),
+        F.col("object.des").alias("designation"), F.col("object.spkid").alias("spkid"),
+    )
+
+
+def _second_pass(spark, d):
+    """(first pass, holds, tries made): the first pass is stored, as fetching lies between."""
+    active, removed, named, listed = _catalogues(spark, d)
+    holds = resolve.active_holds(_fetch_statuses(spark, d), HOLDS_AS_OF)
+    first = materialise(
+        resolve.resolve_profiles(_objects(spark, d), bridge.orbits(spark, d), active, removed, named, listed, holds)
+    )
+    return first, holds, resolve.answered_tries(resolve.open_tries(first, holds), _landed_documents(spark, d))
+
+
+@query
+def resolve_second_pass(spark, d):
+    """From landed documents to final references: the misses of the first pass, answered and looked up again."""
+    first, holds, tried = _second_pass(spark, d)
+    active, removed, named, listed = _catalogues(spark, d)
+    final = resolve.resolve_again(first, materialise(tried), active, removed, named, listed, holds)
+    return final.select(
+        "asteroid_id", F.array_join("candidates", "|").alias("candidates"), "sbdb_id", "answered_by", "sentry_status",
+        "sentry_designation", "sentry_key", "removed_date", "cad_designation", "on_risk_list", "esa_key",
+    )
+
+
+@query
+def gap_fill_tries(spark, d):
+    """The tries of the gap filling as status rows: those up to the first answer."""
+    _, _, tried = _second_pass(spark, d)
+    outcome = response_outcome(F.col("http_status"), F.col("body"))
+    return tried.withColumn("outcome", outcome).select(
+        "asteroid_id", "try_no", "lookup_value", "is_answer", "outcome.status_code", "outcome.last_failure_type"
+    )
+
+
 @query
 def risk_name_lookup(spark, d):
     """Names looked up on the active list: as a whole, then by leading number."""
@@ -786,6 +955,46 @@ def identifier_cascade(spark, d):
     )
 
 
+@query
+def cascade_outcomes(spark, d):
+    """Queries nobody here can answer: known to the outside catalogue only, or pending."""
+    found = cascade.identifier_cascade(
+        _query_texts(spark, d), bridge.orbits(spark, d), bridge.risks(spark, d), bridge.approaches(spark, d)
+    )
+    number, full = F.col("c_custkey"), F.col("c_custkey") % 2 == 0
+    outside = bridge.table(spark, d, "customer").select(
+        F.concat(F.lit("X"), number.cast("string")).alias("designation"),
+        F.when(full, F.concat(F.lit("No Such OBJECT "), number.cast("string"))).otherwise(F.lit("")).alias("fullname"),
+        F.col("c_name").alias("shortname"),
+        F.when(number % 3 == 0, F.concat(F.lit("no such object "), (number + 1).cast("string"))).alias("spkid"),
+    )
+    return cascade.with_outcome(found, outside).select(
+        "query_id", "level", "outcome", "catalogue_designation", "catalogue_name"
+    )
+
+
+@query
+def wildcard_names(spark, d):
+    """Queries of wildcards, with few letters, none, or escaped ones: the first object each means."""
+    number, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    kind = number % 8
+    asked = bridge.table(spark, d, "part").select(
+        F.when(kind == 0, F.repeat(F.lit("_"), size + 10))
+        .when(kind == 1, F.concat(F.lit("%"), F.repeat(F.lit("_%"), size)))
+        .when(kind == 2, F.lit("%%"))
+        .when(kind == 3, F.concat(F.lit("\\%"), F.repeat(F.lit("_"), size % 3)))
+        .when(kind == 4, F.lit("A\\_"))
+        .when(kind == 5, F.concat(F.substring(name, 1, 3), F.lit("_"), F.substring(name, 5, 2)))
+        .when(kind == 6, F.concat(F.lit("100\\%"), F.repeat(F.lit("%"), size % 2)))
+        .otherwise(F.concat(F.substring(name, 1, 4), F.lit("\\\\")))
+        .alias("query")
+    )
+    number = F.col("asteroid_id").cast("bigint")
+    tail = F.when(number % 5 == 0, F.lit(" 100%")).when(number % 7 == 0, F.lit(" a_b")).otherwise(F.lit(""))
+    labels = _objects(spark, d).select("asteroid_id", F.concat("name", tail).alias("label"))
+    return matching.first_containing(labels, asked, "label", "query", ("asteroid_id",))
+
+
 @query
 def object_search(spark, d):
     return tidy(search.object_search(bridge.approaches(spark, d), bridge.orbits(spark, d), "BOLT (199"))
@@ -1069,6 +1278,23 @@ def stream_agencies(spark, d):
     return metrics.table_counts({name: table.current() for name, table in held.items()})
 
 
+@query
+def ingest_measured(spark, d):
+    """A run of the agency stream by its own log: rows written per table, and whether the tables hold as many."""
+    folder = run_folder(spark)
+    held = agency_stream.create_tables(spark, f"{folder}/tables")
+    log = IngestLog(spark, f"{folder}/log").create()
+    publish(envelopes.to_messages(_envelopes(spark, d)), "text", path=f"{folder}/messages")
+    messages = agency_stream.read(spark, "text", path=f"{folder}/messages")
+    agency_stream.start(messages, held, f"{folder}/checkpoint", once=True, rejects=f"{folder}/rejects", log=log).awaitTermination()
+    stored = progress.rows_per_source({name: table.history() for name, table in held.items()})
+    stored = stored.groupBy("source").agg(F.sum("n_rows").alias("n_stored"))
+    return log.totals().join(stored, "source").select(
+        "source", "n_inserted", (F.col("n_inserted") + F.col("n_updated") == F.col("n_stored")).alias("agrees"),
+        (F.col("throughput") > 0).alias("timed"), "n_rejected",
+    )
+
+
 @query
 def ingest_metrics(spark, d):
     """Backlog and throughput with the hours of the event table as batches."""

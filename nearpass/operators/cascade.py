@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearpass.functions.text import first_non_empty
 from nearpass.operators.matching import first_containing
 from nearpass.session import materialise, spread
 
@@ -58,3 +59,30 @@ def identifier_cascade(
     )
     found = by_key.join(by_part, query, "left").select(query, F.least("k", "p").alias("b"))
     return queries.join(found, query, "left").select(*queries.columns, "b.level", "b.asteroid_id")
+
+
+INGESTED, CATALOGUE_ONLY, PENDING = "ingested", "catalogue_only", "pending"
+
+
+def with_outcome(found: DataFrame, catalogue: DataFrame, query: str = "query") -> DataFrame:
+    """Cascade answers plus `outcome` and what an outside catalogue says of the
+    queries that no level answers.
+
+    "ingested": some level has the object.  "catalogue_only": the catalogue has
+    it under that designation, spk id or name (any case), but it is not stored
+    yet; `catalogue_designation` and `catalogue_name` (full, else short) are its
+    own.  "pending": nobody knows it.  Of several records the smallest
+    designation counts.
+    """
+    record = F.struct(F.col("designation"), first_non_empty(F.col("fullname"), F.col("shortname")).alias("name"))
+    keys = F.array_distinct(F.array_compact(F.array(F.lower("designation"), F.lower("spkid"), F.lower("fullname"))))
+    index = catalogue.select(F.explode(keys).alias("__key"), record.alias("r")).filter("__key <> ''")
+    index = index.groupBy("__key").agg(F.min("r").alias("r"))
+    # A hit needs no look at the catalogue: its key is left out of the join.
+    asked = found.withColumn("__key", F.when(F.col("level").isNull(), F.lower(query)))
+    joined = asked.join(index, "__key", "left")
+    outcome = F.when(F.col("level").isNotNull(), INGESTED).when(F.col("r").isNotNull(), CATALOGUE_ONLY).otherwise(PENDING)
+    return joined.select(
+        *found.columns, outcome.alias("outcome"), F.col("r.designation").alias("catalogue_designation"),
+        F.col("r.name").alias("catalogue_name"),
+    )

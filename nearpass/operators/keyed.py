@@ -32,10 +32,9 @@ def dedupe_last(df: DataFrame, keys: Iterable[str], arrival: Iterable[str], *tie
 
 
 def dedupe_approaches(df: DataFrame) -> DataFrame:
-    """One approach per date and object: the nearest pass, then the earliest."""
-    order = [
-        F.col("miss_distance_km").asc_nulls_last(),
-        F.col("epoch_date_close_approach").asc_nulls_last(),
-        F.col("name").asc_nulls_last(),
-    ]
-    return first_per_key(df, ("close_approach_date", "asteroid_id"), order)
+    """One approach per date and object: the nearest pass, then the earliest;
+    rows that agree in both and the name go by their other columns, in the order of the names."""
+    first = ["miss_distance_km", "epoch_date_close_approach", "name"]
+    keys = ["close_approach_date", "asteroid_id"]
+    others = sorted(set(df.columns) - {*first, *keys})
+    return first_per_key(df, keys, [F.col(f"`{name}`").asc_nulls_last() for name in first + others])

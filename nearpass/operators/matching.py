@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearpass.functions.text import like_pattern
@@ -37,17 +37,49 @@ def _grams(text: Column, sizes: Column) -> Column:
     return F.array_distinct(F.flatten(pieces))
 
 
-def _literal_parts(pattern: Column, wildcards: bool) -> Column:
-    """The longest run of a query without wildcards, in lower case."""
-    runs = F.split(F.lower(pattern), r"[%_\\]") if wildcards else F.array(F.lower(pattern))
+# Stand-ins for escaped characters while a pattern is taken apart (private use).
+_ESCAPED = {"\\\\": "\ue000", "\\%": "\ue001", "\\_": "\ue002"}
+
+
+def _protected(pattern: Column) -> Column:
+    """A pattern in lower case whose remaining `%` and `_` are all wildcards."""
+    text = F.lower(pattern)
+    for escaped, mark in _ESCAPED.items():
+        text = F.replace(text, F.lit(escaped), F.lit(mark))
+    return F.replace(text, F.lit("\\"), F.lit(""))
+
+
+def _literal_run(protected: Column) -> Column:
+    """The longest run without wildcards, as it stands in a text."""
+    runs = F.split(protected, "[%_]")
     longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("n"), run.alias("run"))))
-    return longest["run"]
+    text = longest["run"]
+    for escaped, mark in _ESCAPED.items():
+        text = F.replace(text, F.lit(mark), F.lit(escaped[1:]))
+    return text
+
+
+def first_of_length(texts: DataFrame, wanted: DataFrame, text: str, length: str, order: tuple[str, ...]) -> DataFrame:
+    """(length, best) for each distinct length of `wanted` that some text has or
+    exceeds: the smallest `order` columns among the texts at least that long.
+
+    The texts are brought down to one row per length; the minimum then runs from
+    the longest length down, over those rows and the wanted lengths alone.
+    """
+    per_length = texts.filter(F.col(text).isNotNull()).groupBy(F.length(text).alias("__length")).agg(
+        F.min(F.struct(*order)).alias("__best")
+    )
+    asked = wanted.select(F.col(length).alias("__length")).distinct().withColumn("__best", F.lit(None).cast(per_length.schema["__best"].dataType))
+    rows = per_length.withColumn("__asked", F.lit(False)).unionByName(asked.withColumn("__asked", F.lit(True)))
+    # Peers of one length count, so a range frame.
+    down = Window.orderBy(F.col("__length").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("best", F.min("__best").over(down)).filter("__asked AND best IS NOT NULL")
+    return found.select(F.col("__length").alias(length), "best")
 
 
 def _pieces(text: str) -> Column:
-    """What a text can be met on: its pieces of one to three letters and nothing."""
-    sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
-    return F.array_append(_grams(F.lower(text), sizes), F.lit(""))
+    """What a text can be met on: its pieces of one to three letters."""
+    return _grams(F.lower(text), F.array(*[F.lit(n) for n in range(1, GRAM + 1)]))
 
 
 def first_containing(
@@ -59,22 +91,28 @@ def first_containing(
     A text that contains a query contains each of its three-letter pieces, so
     texts and queries meet in an equality join on the query's rarest piece and
     only those pairs are compared.  Queries shorter than three letters meet on
-    what they have; one without any letter meets every text.  A query of at
-    most three plain letters is itself a piece: the smallest text per piece
-    answers it and no pair is formed.
+    what they have.  A query of at most three plain letters is itself a piece:
+    the smallest text per piece answers it and no pair is formed.  One of
+    wildcards alone asks for the length of a text: the smallest text of at
+    least as many letters as it has `_` answers it, and no pair is formed either.
     """
-    wild = F.col(query).rlike(r"[%_\\]") if wildcards else F.lit(False)
-    asked = queries.select(query).distinct().select(
+    body = _protected(F.col(query)) if wildcards else F.lower(query)
+    every = queries.filter(F.col(query).isNotNull()).select(query).distinct().select(
         query,
-        ((F.length(query) <= GRAM) & ~wild).alias("brief"),
-        _literal_parts(F.col(query), wildcards).alias("lit"),
+        (body.rlike("[%_]") if wildcards else F.lit(False)).alias("wild"),
+        (_literal_run(body) if wildcards else body).alias("lit"),
+        F.when(F.lit(wildcards), F.length(F.regexp_replace(body, "[^_]", ""))).otherwise(0).alias("letters"),
     )
+    blank = every.filter(F.col("lit") == "")
+    by_length = blank.join(first_of_length(texts, blank, text, "letters", order), "letters").select(query, "best")
+    asked = every.filter(F.col("lit") != "").withColumn("brief", (F.length("lit") <= GRAM) & ~F.col("wild"))
     size = F.least(F.length("lit"), F.lit(GRAM))
     parts = asked.select(
         query,
         "brief",
+        "wild",
         "lit",
-        F.explode(F.when(size > 0, _grams(F.col("lit"), F.array(size))).otherwise(F.array(F.lit("")))).alias("gram"),
+        F.explode(_grams(F.col("lit"), F.array(size))).alias("gram"),
     )
     spread = texts.select(*order, text, F.explode(_pieces(text)).alias("gram")).join(
         parts.select("gram").distinct(), "gram", "left_semi"
@@ -84,14 +122,15 @@ def first_containing(
     # A piece that no text has rules its query out, hence the left join and the 0.
     anchors = (
         parts.join(per_piece, "gram", "left")
-        .groupBy(query, "brief", "lit")
+        .groupBy(query, "brief", "wild", "lit")
         .agg(F.min(F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "gram", "best")).alias("a"))
         .filter(F.col("a.n") > 0)
-        .select(query, "brief", "lit", "a.gram", "a.best")
+        .select(query, "brief", "wild", "lit", "a.gram", "a.best")
     )
     answered = anchors.filter("brief").select(query, "best")
     pattern = like_pattern(F.col(query))
     # The literal run settles plain queries and keeps most other pairs from the pattern.
-    matches = F.contains(F.lower(text), F.col("lit")) & F.when(wild, F.ilike(F.col(text), pattern)).otherwise(True)
-    pairs = spread.join(anchors.filter(~F.col("brief")).select(query, "lit", "gram"), "gram").filter(matches)
-    return answered.unionByName(pairs.groupBy(query).agg(best)).select(query, "best.*")
+    matches = F.contains(F.lower(text), F.col("lit")) & F.when(F.col("wild"), F.ilike(F.col(text), pattern)).otherwise(True)
+    pairs = spread.join(anchors.filter(~F.col("brief")).select(query, "wild", "lit", "gram"), "gram").filter(matches)
+    found = answered.unionByName(by_length).unionByName(pairs.groupBy(query).agg(best))
+    return found.select(query, "best.*")

@@ -160,6 +160,23 @@ def resolve_profiles(
     base = with_hold_flags(with_candidates(objects), holds)
     placed = resolve_orbits(base, orbit_refs(orbits, orbit_order, orbit_id), ~F.col("hold_sbdb"))
     extended = placed.withColumn("candidates", extended_candidates(F.col("candidates"), F.col("sbdb")))
+    return _resolve_others(
+        extended, F.col("sbdb.ref.id"), active, removed, passages, risk_list, risk_order, risk_list_order
+    )
+
+
+def _resolve_others(
+    extended: DataFrame,
+    orbit_id: Column,
+    active: DataFrame,
+    removed: DataFrame,
+    passages: DataFrame,
+    risk_list: DataFrame,
+    risk_order: tuple[str, ...],
+    risk_list_order: tuple[str, ...],
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """The catalogues behind the orbits, for objects whose candidates are final (with hold flags)."""
     # A bare risk-list key is tried after the exact one of the same candidate.
     others = (
         risk_refs(active, removed, risk_order)
@@ -188,7 +205,7 @@ def resolve_profiles(
         "asteroid_id",
         "name",
         "candidates",
-        F.col("sbdb.ref.id").alias("sbdb_id"),
+        orbit_id.alias("sbdb_id"),
         F.when(~F.col("hold_sentry"), F.coalesce(F.col("sentry.ref.status"), F.lit("not_found"))).alias("sentry_status"),
         F.when(~F.col("hold_sentry"), F.coalesce(F.col("sentry.cand"), first_try)).alias("sentry_designation"),
         F.when(F.col("sentry.ref.status") == "active", F.col("sentry.ref.id")).alias("sentry_key"),
@@ -196,7 +213,76 @@ def resolve_profiles(
         F.col("cad.ref.id").alias("cad_designation"),
         F.when(~F.col("hold_esa"), best_listed.isNotNull()).alias("on_risk_list"),
         best_listed["ref"]["id"].alias("esa_key"),
+        *keep,
+    )
+
+
+# --- second pass ------------------------------------------------------------------
+
+def open_tries(profiles: DataFrame, holds: DataFrame | None = None) -> DataFrame:
+    """What a first pass leaves to be fetched: the identifiers, in order, of the
+    profiles without an orbit whose orbit source is not on hold."""
+    missing = with_hold_flags(profiles.filter(F.col("sbdb_id").isNull()), holds)
+    return gap_fill(missing.withColumn("sbdb", F.lit(None)))
+
+
+def answered_tries(tries: DataFrame, landed: DataFrame, order: tuple[str, ...] = ("checked_at",)) -> DataFrame:
+    """The tries that were made, with what came back.
+
+    `landed` has responses per `lookup_value` (http_status, body, and whether it
+    holds a document: designation, spkid, NULL where it holds none); of several
+    the last by `order` counts.  Identifiers are tried in order up to the first
+    answer, so later ones are no tries.  `is_answer` marks that one: it came with
+    status 200 and a document.
+    """
+    newest = landed.groupBy("lookup_value").agg(
+        F.max_by(F.struct(*[c for c in landed.columns if c != "lookup_value"]), F.struct(*order)).alias("r")
     )
+    met = tries.join(newest, "lookup_value")
+    good = (F.col("r.http_status") == 200) & F.col("r.has_document")
+    # An object has a handful of identifiers at most.
+    listed = met.groupBy("asteroid_id").agg(
+        F.min(F.when(good, F.col("try_no"))).alias("first_answer"),
+        F.collect_list(F.struct("try_no", "lookup_value", "r")).alias("tried"),
+    )
+    made = listed.select("asteroid_id", "first_answer", F.explode("tried").alias("t")).filter(
+        F.col("first_answer").isNull() | (F.col("t.try_no") <= F.col("first_answer"))
+    )
+    return made.select(
+        "asteroid_id", "t.try_no", "t.lookup_value", "t.r.*",
+        F.coalesce(F.col("t.try_no") == F.col("first_answer"), F.lit(False)).alias("is_answer"),
+    )
+
+
+def resolve_again(
+    profiles: DataFrame,
+    answers: DataFrame,
+    active: DataFrame,
+    removed: DataFrame,
+    passages: DataFrame,
+    risk_list: DataFrame,
+    holds: DataFrame | None = None,
+    risk_order: tuple[str, ...] = ("row_no",),
+    risk_list_order: tuple[str, ...] = ("key",),
+) -> DataFrame:
+    """Profiles of a first pass after its misses were fetched.
+
+    The document that answers an object rewrites its candidates as an orbit hit
+    does, and only those objects are looked up in the other catalogues again;
+    all other profiles stay as they are.  Adds `answered_by`, the identifier
+    under which the document was found.
+    """
+    found = answers.filter("is_answer").select("asteroid_id", "lookup_value", "designation", "spkid")
+    orbit = F.struct(F.struct("designation", "spkid").alias("ref"))
+    again = profiles.select("asteroid_id", "name", "candidates").join(found, "asteroid_id")
+    again = again.withColumn("candidates", extended_candidates(F.col("candidates"), orbit))
+    again = with_hold_flags(again.withColumnRenamed("lookup_value", "answered_by"), holds)
+    looked_up = _resolve_others(
+        again.drop("designation", "spkid"), F.lit(None).cast("string"), active, removed, passages, risk_list, risk_order,
+        risk_list_order, keep=("answered_by",),
+    )
+    same = profiles.join(found.select("asteroid_id"), "asteroid_id", "left_anti")
+    return same.withColumn("answered_by", F.lit(None).cast("string")).unionByName(looked_up)
 
 
 def _with_ref(index: DataFrame) -> DataFrame:

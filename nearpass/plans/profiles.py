@@ -199,7 +199,8 @@ def enriched_passages(
 
 def recent_passages(passages: DataFrame, n: int = RECENT_PASSAGES) -> DataFrame:
     """The last `n` approach records of each object."""
-    ties = [F.col("distance_au").asc_nulls_last()]
+    others = sorted(set(passages.columns) - {"asteroid_id", "approach_date", "distance_au"})
+    ties = [F.col(f"`{name}`").asc_nulls_last() for name in ("distance_au", *others)]
     return first_per_key(passages, ["asteroid_id"], [F.col("approach_date").desc_nulls_last(), *ties], n)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearpass.schemas import APPROACH
+from nearpass.schemas import APPROACH, Entity
+from nearpass.session import spread
 
 # --- fixed values: message layout ----------------------------------------------
 _RANGE = "STRUCT<estimated_diameter_min: DOUBLE, estimated_diameter_max: DOUBLE>"
@@ -42,16 +43,25 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_to_messages(feeds: DataFrame) -> DataFrame:
+    """One message per object and day; those of a large document are dealt out before anything is made of them."""
     by_day = feeds.select(F.explode("near_earth_objects").alias("date", "objects"))
-    return by_day.select("date", F.explode("objects").alias("asteroid"))
+    return spread(by_day.select("date", F.explode("objects").alias("asteroid")))
 
 
-def read_message_stream(spark: SparkSession, fmt: str, per_trigger: int | None = None, **options: str) -> DataFrame:
+def read_message_stream(
+    spark: SparkSession, fmt: str, per_trigger: int | None = None, max_bytes: int | None = None, **options: str
+) -> DataFrame:
     """A stream of raw messages: a text column `value` and, last, the columns
     that order its arrival.
 
     `fmt` is "kafka", from the earliest offset and tolerant of lost offsets, or
-    "text" for a folder of line-delimited JSON given as `path`.
+    "text" for a folder of line-delimited JSON given as `path`, or "json" for one
+    of lines that hold key and value.  A batch is
+    bounded by `per_trigger` messages or, of a folder, files; or, of a folder, by
+    `max_bytes` instead (a larger file is a batch of its own).
+
+    All messages of a file arrived together: where in it a line stands, and how
+    Spark splits it, decides nothing.
     """
     if fmt == "kafka":
         defaults = {
@@ -62,17 +72,14 @@ def read_message_stream(spark: SparkSession, fmt: str, per_trigger: int | None =
         raw = spark.readStream.format("kafka").options(**{**defaults, **options}).load()
         return raw.select(F.col("value").cast("string").alias("value"), "timestamp", "partition", "offset")
     path = options.pop("path")
-    raw = (
-        spark.readStream.format("text")
-        .option("maxFilesPerTrigger", str(per_trigger or FILES_PER_TRIGGER))
-        .options(**options)
-        .load(path)
-    )
+    bound = ("maxBytesPerTrigger", max_bytes) if max_bytes else ("maxFilesPerTrigger", per_trigger or FILES_PER_TRIGGER)
+    reader = spark.readStream.format("json" if fmt == "json" else "text").option(bound[0], str(bound[1])).options(**options)
+    raw = (reader.schema("key STRING, value STRING") if fmt == "json" else reader).load(path)
     return raw.select(
         "value",
         F.col("_metadata.file_modification_time").alias("timestamp"),
         F.col("_metadata.file_name").alias("partition"),
-        F.col("_metadata.file_block_start").alias("offset"),
+        F.lit(0).cast("bigint").alias("offset"),
     )
 
 
@@ -102,9 +109,13 @@ def split_malformed(parsed: DataFrame, required: str, value: str = "value") -> t
     """(good rows, quarantine): a message that does not parse, or without its
     `required` part, keeps its text and the reason."""
     judged = with_verdict(parsed, required)
-    good = judged.filter(F.col("verdict").isNull()).drop("verdict")
+    return judged.filter(F.col("verdict").isNull()).drop("verdict"), quarantined(judged, value)
+
+
+def quarantined(judged: DataFrame, value: str = "value") -> DataFrame:
+    """The text of messages with a verdict, and the reason."""
     bad = judged.filter(F.col("verdict").isNotNull())
-    return good, bad.select(F.col(value).cast("string").alias("value"), F.col("verdict").alias("reason"))
+    return bad.select(F.col(value).cast("string").alias("value"), F.col("verdict").alias("reason"))
 
 
 def flatten_messages(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -152,6 +163,32 @@ def drop_incomplete(df: DataFrame, keys: tuple[str, ...] = APPROACH.keys) -> Dat
     return df.na.drop(subset=list(keys))
 
 
+def with_faults(rows: DataFrame, entity: Entity) -> DataFrame:
+    """Rows as sent plus `faults`: why each part of the key cannot be used, NULL
+    for a row that can be stored.
+
+    A part is "missing" where nothing was sent, and "unreadable" where what was
+    sent is not of the part's type.  A part with a default is never at fault.
+    """
+    def fault(name: str) -> Column:
+        sent = F.col(f"`{name}`") if name in rows.columns else F.lit(None).cast("string")
+        reason = F.when(sent.isNull(), F.lit("missing")).when(
+            sent.try_cast(entity.columns[name]).isNull(), F.lit("unreadable")
+        )
+        return F.struct(F.lit(name).alias("column"), reason.alias("reason"))
+
+    keys = [name for name in entity.keys if name not in entity.defaults]
+    found = F.filter(F.array(*[fault(name) for name in keys]), lambda f: f["reason"].isNotNull())
+    return rows.withColumn("faults", F.when(F.size(found) > 0, F.map_from_entries(found)))
+
+
+def rejected_rows(checked: DataFrame, entity: Entity) -> DataFrame:
+    """Rows that cannot be stored: the entity, what was sent as JSON, and the reason for each part of the key."""
+    bad = checked.filter(F.col("faults").isNotNull())
+    sent = [F.col(f"`{name}`") for name in entity.columns if name in checked.columns]
+    return bad.select(F.lit(entity.name).alias("entity"), F.to_json(F.struct(*sent)).alias("row"), "faults")
+
+
 def to_messages(approaches: DataFrame) -> DataFrame:
     """Flat approach rows back to messages, one per row: the publishing side."""
     def column(name: str, kind: str) -> Column:

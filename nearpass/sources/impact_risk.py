@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearpass.functions.numbers import safe_double, safe_int
 from nearpass.functions.text import normalise_designation
 from nearpass.schemas import RISK
+from nearpass.session import spread
 
 # --- fixed values: names in the payloads ----------------------------------------
 ACTIVE_COLUMNS = {
@@ -80,7 +81,7 @@ def read_active(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_active(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Active list to risk records; `row_no` is the place in the list."""
-    entries = payloads.select(*keep, F.posexplode("data").alias("row_no", "e"))
+    entries = spread(payloads.select(*keep, F.posexplode("data").alias("row_no", "e")))
     values = {out: F.col(f"e.`{name}`") for name, out in ACTIVE_COLUMNS.items()}
     return entries.select(*keep, "row_no", *_record({**values, "status": F.lit(ACTIVE)}))
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearpass.session import spread
+
 MATRIX_SCHEMA = "count INT, fields ARRAY<STRING>, data ARRAY<ARRAY<STRING>>"
 
 
@@ -32,17 +34,21 @@ def _entry(fields: Column, row: Column) -> Column:
 
 
 def zip_fields_rows(payloads: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """One row per matrix row with a map column `entry` (name -> cell)."""
-    return payloads.select(*keep, "fields", F.posexplode("data").alias("row_no", "cells")).select(
-        *keep, "row_no", _entry(F.col("fields"), F.col("cells")).alias("entry")
-    )
+    """One row per matrix row with a map column `entry` (name -> cell).
+
+    The rows of a payload are dealt out to all tasks before the maps are made,
+    so a payload of very many rows keeps one task busy with taking it apart only.
+    """
+    rows = spread(payloads.select(*keep, "fields", F.posexplode("data").alias("row_no", "cells")))
+    return rows.select(*keep, "row_no", _entry(F.col("fields"), F.col("cells")).alias("entry"))
 
 
 def matrix_cells(payloads: DataFrame, names: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
     """One row per matrix row with a text column per wanted name.
 
     Positions are looked up once per payload; each row then costs one array
-    access per column.  A name the header lacks gives NULL.
+    access per column.  A name the header lacks gives NULL.  The rows of a
+    payload are dealt out to all tasks before they are typed.
     """
     names = list(names)
 
@@ -51,7 +57,7 @@ def matrix_cells(payloads: DataFrame, names: Iterable[str], keep: Iterable[str]
         return F.filter(marked, lambda i: i.isNotNull()).alias(name)
 
     placed = payloads.select(*keep, F.struct(*[places(name) for name in names]).alias("places"), "data")
-    rows = placed.select(*keep, "places", F.posexplode("data").alias("row_no", "cells"))
+    rows = spread(placed.select(*keep, "places", F.posexplode("data").alias("row_no", "cells")))
 
     def value(name: str) -> Column:
         inside = F.filter(F.col("places").getField(name), lambda i: i < F.size("cells"))

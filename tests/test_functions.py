@@ -111,7 +111,7 @@ def test_row_hash_sees_moved_nulls(spark):
     strict = df.select(hashing.row_hash(["a", "b"]).alias("h")).collect()
     loose = df.select(hashing.row_hash(["a", "b"], null_token=None).alias("h")).collect()
     assert strict[0].h != strict[1].h and loose[0].h == loose[1].h
-    record = df.select(hashing.record_hash(["b", "a"]).alias("h")).collect()
+    record = df.select(hashing.record_hash(df, ["b", "a"]).alias("h")).collect()
     assert record[0].h != record[1].h
 
 
