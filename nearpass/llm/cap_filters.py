@@ -1,23 +1,24 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter is a direction; a vector belongs to every filter whose direction it
-comes near enough to, so near vectors share filters.  Near enough is: within
-MARGIN of the best direction of the code, which gives every vector a similar
+comes near enough to, so near vectors share filters.  Near enough is: within a
+margin of the best direction of the code, which gives every vector a similar
 number of filters.  The directions are a
 structured random product code: after a random rotation the coordinates are cut
 into blocks, each with its own random code words, and a direction is one word
 from each block.  A vector is list-decoded to all such directions, block by
 block: combinations that the best words of the remaining blocks cannot lift
-near enough are not followed.  Two vectors of cosine 0.93 in 64 dimensions share
-about 20 filters with these parameters, and hardly ever fewer than 5.
+near enough are not followed.  Blocks, words and margin follow the number of
+components and of vectors (`code_for`).
 
 Vectors of one filter are compared by their cosine in double precision.  A pair
-is counted in the first filter both belong to.
+that links is counted in the first filter both belong to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,40 +29,66 @@ from pyspark.sql import functions as F
 from nearpass.llm.components import components
 from nearpass.llm.work import Work
 
-BLOCKS, WORDS, CODES = 4, 32, 3
-MARGIN = 0.04  # of the cosine with a direction
 MEMBERS = 2048  # vectors of one filter that one task compares with as many
+USUAL = 10_000  # vectors of a label from which on a code has more words
 
 
-@lru_cache(maxsize=4)
-def code(dimension: int, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rotation to the next multiple of BLOCKS coordinates, and the code words of each block."""
+@dataclass(frozen=True)
+class Code:
+    """How many blocks, words of a block and independent codes there are, and how near to the best direction counts."""
+
+    blocks: int
+    words: int
+    codes: int
+    margin: float
+
+
+def code_for(dimension: int, number: int) -> Code:
+    """The code for vectors of that many components, of which `number` have one label.
+
+    A block needs some coordinates, so short vectors have fewer blocks.  With
+    more vectors, words grow so that the number of directions follows them (the
+    fourth power of words), and the margin shrinks so that a vector keeps to a
+    few hundred filters at most.
+    """
+    if dimension < 8:
+        return Code(1, 256, 3, 0.1)
+    if dimension < 16:
+        return Code(2, 48, 4, 0.06)
+    growth = max(1.0, number / USUAL) ** 0.25
+    margin = 0.04 * min(1.0, 64 / dimension) ** 0.5
+    return Code(4, min(256, round(32 * growth)), 3 if growth == 1 else 4, margin * growth**-0.4)
+
+
+@lru_cache(maxsize=8)
+def directions(dimension: int, blocks: int, words: int, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rotation to the next multiple of `blocks` coordinates, and the distinct code words of each block."""
     random = np.random.RandomState(1000 + number)
-    width = -(-dimension // BLOCKS)
-    turn, _ = np.linalg.qr(random.randn(width * BLOCKS, width * BLOCKS))
-    words = [random.randn(WORDS, width) for _ in range(BLOCKS)]
-    words = [w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(BLOCKS) for w in words]
-    return turn[:, :dimension], words
+    width = -(-dimension // blocks)
+    turn, _ = np.linalg.qr(random.randn(width * blocks, width * blocks))
+    drawn = [random.randn(words, width) for _ in range(blocks)]
+    drawn = [np.unique(np.round(w / np.linalg.norm(w, axis=1, keepdims=True), 12), axis=0) for w in drawn]
+    return turn[:, :dimension], [w / np.sqrt(blocks) for w in drawn]
 
 
-def decode(unit: np.ndarray, margin: float = MARGIN) -> list[np.ndarray]:
+def decode(unit: np.ndarray, code: Code) -> list[np.ndarray]:
     """Numbers of the filters of each unit vector, ascending."""
     found: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
-    for number in range(CODES):
-        turn, words = code(unit.shape[1], number)
+    for number in range(code.codes):
+        turn, words = directions(unit.shape[1], code.blocks, code.words, number)
         rotated = unit @ turn.T
-        width = rotated.shape[1] // BLOCKS
-        scores = [rotated[:, b * width : (b + 1) * width] @ words[b].T for b in range(BLOCKS)]
+        width = rotated.shape[1] // code.blocks
+        scores = [rotated[:, b * width : (b + 1) * width] @ words[b].T for b in range(code.blocks)]
         rest = np.cumsum([s.max(axis=1) for s in scores[::-1]], axis=0)[::-1]  # best of this and later blocks
-        limit = rest[0] - margin
+        limit = rest[0] - code.margin
         row = np.arange(len(unit))
         total, name = np.zeros(len(unit)), np.zeros(len(unit), np.int64)
-        for b in range(BLOCKS):
-            ahead = rest[b + 1] if b + 1 < BLOCKS else np.zeros(len(unit))
+        for b in range(code.blocks):
+            ahead = rest[b + 1] if b + 1 < code.blocks else np.zeros(len(unit))
             step = total[:, None] + scores[b][row]
             keep, word = np.nonzero(step + ahead[row][:, None] >= limit[row][:, None])
-            total, name, row = step[keep, word], name[keep] * WORDS + word, row[keep]
-        name += number * WORDS**BLOCKS
+            total, name, row = step[keep, word], name[keep] * code.words + word, row[keep]
+        name += number * code.words**code.blocks
         for r, names in zip(*_split(row, name), strict=True):
             found[r].append(names)
     return [np.sort(np.concatenate(x)) for x in found]
@@ -78,23 +105,51 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        if not whole.num_rows:
-            continue
-        sizes = np.array([len(v) for v in whole.column("vector").to_pylist()])
-        for dimension in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == dimension)
-            for start in range(0, len(rows), 1000):
-                batch = whole.take(pa.array(rows[start : start + 1000]))
-                vectors = _vectors(batch.column("vector"))
-                names = decode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
-                at = pa.array(np.repeat(np.arange(len(names)), [len(x) for x in names]))
-                columns = [batch.column(c).take(at) for c in ("node", "label")]
-                number = pa.array(np.concatenate(names).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.full(len(at), dimension, np.int32)), number], ["node", "label", "d", "filter"]
-                )
+def _filters(most: int):
+    """The filters of each vector; `most`: vectors of one label at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            sizes = np.array([len(v) for v in whole.column("vector").to_pylist()])
+            for dimension in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == dimension)
+                for start in range(0, len(rows), 1000):
+                    batch = whole.take(pa.array(rows[start : start + 1000]))
+                    vectors = _vectors(batch.column("vector"))
+                    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+                    names = decode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), code_for(dimension, most))
+                    at = pa.array(np.repeat(np.arange(len(names)), [len(x) for x in names]))
+                    columns = [batch.column(c).take(at) for c in ("node", "label")]
+                    number = pa.array(np.concatenate(names))
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(np.full(len(at), dimension, np.int32)), number], ["node", "label", "d", "filter"]
+                    )
+
+    return run
+
+
+def _met_before(lists: pa.ListArray, some: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the pairs (places in `some`) share a filter of their lists."""
+    chosen = lists.take(pa.array(some))
+    owner = np.repeat(np.arange(len(some)), np.diff(chosen.offsets.to_numpy()))
+    _, column, held = np.unique(chosen.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = held[column] > 1  # a filter of one vector alone decides nothing
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    width = int(column.max()) + 1 if len(column) else 1
+    edge = np.searchsorted(owner, np.arange(len(some) + 1))
+    bits = np.zeros((len(some), -(-width // 8)), np.uint8)
+    for i in range(len(some)):
+        line = np.zeros(width, bool)
+        line[column[edge[i] : edge[i + 1]]] = True
+        bits[i] = np.packbits(line)
+    met = np.zeros(len(left), bool)
+    step = max(1, (1 << 24) // bits.shape[1])
+    for start in range(0, len(left), step):
+        part = slice(start, start + step)
+        met[part] = (bits[left[part]] & bits[right[part]]).any(axis=1)
+    return met
 
 
 def _linked(cosine: float):
@@ -103,22 +158,27 @@ def _linked(cosine: float):
     def run(_key: tuple, group: pa.Table) -> pa.Table:
         node, n, side = (group.column(c).to_numpy() for c in ("node", "n", "side"))
         vectors = _vectors(group.column("vector").combine_chunks())
+        vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        lists = group.column("before").to_pylist()
-        known, at = np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.array, lists)]).astype(np.int64), return_inverse=True)
-        holds = np.zeros((len(node), len(known)), np.float32)
-        holds[np.repeat(np.arange(len(node)), [len(x) for x in lists]), at] = 1
         two = bool((side == 1).any())
         near = np.zeros((len(node), len(node)), bool)  # at most 2 * MEMBERS a side
         for start in range(0, len(node), 512):
             part = slice(start, start + 512)
-            near[part] = (unit[part] @ unit.T >= cosine) & (holds[part] @ holds.T == 0)
-            near[part] &= node[part, None] != node[None, :]
+            near[part] = unit[part] @ unit.T >= cosine
+            near[part] &= node[part, None] < node[None, :]
             if two:
                 near[part] &= side[part, None] != side[None, :]
-        some = np.flatnonzero(near.any(axis=1))
-        near, node, links = near[np.ix_(some, some)], node[some], near[some] @ n
+        # Only pairs that link are asked whether an earlier filter has them.
+        some = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+        near, node, n = near[np.ix_(some, some)], node[some], n[some]
+        left, right = np.nonzero(near)
+        met = _met_before(group.column("before").combine_chunks(), some, left, right)
+        near[left[met], right[met]] = False
+        near |= near.T
+        links = np.zeros(len(node), np.int64)
         least = np.arange(len(node))
+        for start in range(0, len(node), 512):
+            links[start : start + 512] = near[start : start + 512] @ n
         while True:  # the smallest place each one reaches
             step = least.copy()
             for start in range(0, len(node), 512):
@@ -129,7 +189,8 @@ def _linked(cosine: float):
             if (step == least).all():
                 break
             least = step
-        return pa.table({"node": node, "least": node[least], "links": links})
+        kept = links > 0
+        return pa.table({"node": node[kept], "least": node[least][kept], "links": links[kept]})
 
     return run
 
@@ -148,8 +209,8 @@ def near_vectors(
     vectors and link.  A null key forms no component of its own name.  Other
     columns are not read.  An empty table gives no rows.
 
-    Filters find a linked pair with a probability that WORDS, CODES and MARGIN
-    set; equal vectors are always found.
+    Filters find a linked pair with a probability that `code_for` sets (tests ask
+    for 0.99 at the least cosine); equal vectors are always found.
     """
     work = Work(rows.sparkSession)
     whole = F.transform(vector, lambda x: x.cast("double"))
@@ -165,13 +226,14 @@ def near_vectors(
     )
     nodes = work.save(nodes)
     kind = every.schema["label"].dataType.simpleString()
+    most = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     placed = nodes.select("node", "label", "vector").mapInArrow(
-        _filters, f"node bigint, label {kind}, d int, filter int"
+        _filters(most), f"node bigint, label {kind}, d int, filter bigint"
     )
     placed = work.save(placed)
     size = placed.groupBy("label", "d", "filter").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = work.save(placed.join(size, ["label", "d", "filter"]))
-    # Of the filters a pair shares, the first one compares it.  A vector has a few hundred filters at most.
+    # Of the filters a pair shares, the first one counts it.  A vector has a few hundred filters.
     lists = met.groupBy("node").agg(F.array_sort(F.collect_list("filter")).alias("filters"))
     blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
