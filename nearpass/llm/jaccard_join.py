@@ -2,8 +2,8 @@
 
 Two sets link when 100 * |intersection| >= percent * |union|.  Then their
 symmetric difference has at most H = (100 - percent) * (|r| + |s|) / (100 + percent)
-members.  Sets are taken in bands of sizes; a set signs for its own band and,
-if a larger partner may lie there, for the next one.  For a band, the universe
+members.  Sets are taken in bands of sizes; a set signs for its own band and
+for all those in which a larger partner may lie.  For a band, the universe
 of shingles is cut by hash into m segments; a signature is the name of the part
 of a set that falls into one segment.
 
@@ -28,7 +28,9 @@ Then holders of one signature that are still in different components are
 compared; pairs inside a component decide nothing.  Up to FEW holders, their
 pairs are rows.  Of more holders no pairs are formed; only pairs that their
 sketches allow come out, at first the closest few of each holder, in the last
-round all that are left.  A sketch has a byte of the name and the size of a
+round all that are left.  Crowded signatures that have holders in common form a
+family; where that is less work, the holders of a family meet once, instead of
+once for each of its signatures.  A sketch has a byte of the name and the size of a
 set's part in each of up to SKETCH segments, from which follows a lower bound of
 the difference of two sets.  No texts are compared of pairs beyond the bound.
 """
@@ -103,6 +105,11 @@ def allocate(edges: list[int], counts: dict[int, tuple[int, int]], percent: int)
     return bands
 
 
+def reach(edges: np.ndarray, size: int, percent: int) -> int:
+    """Band of the largest set that one of `size` can link with, as far as there are bands."""
+    return int(np.searchsorted(edges, size * 100 // percent, side="right")) - 1
+
+
 def sign(value: np.ndarray, band: int, rule: Band) -> np.ndarray:
     """Signatures of one set of sorted hashes."""
     m = rule.segments
@@ -182,7 +189,7 @@ def _signatures(words: int, bands: list[Band], percent: int, buckets: int):
                         continue
                     seen.add(name[i])
                     members, k = value[bounds[i] : bounds[i + 1]], int(own[i])
-                    for at in (k, k + 1) if sizes[i] * 100 // percent >= edges[k + 1] else (k,):
+                    for at in range(k, reach(edges, int(sizes[i]), percent) + 1):
                         if bands[at].segments:
                             sigs.append(sign(members, at, bands[at]))
                             nodes.append(np.full(len(sigs[-1]), name[i]))
@@ -238,7 +245,7 @@ def _sketches(words: int, bands: list[Band], percent: int):
                     for i in range(len(bounds) - 1):
                         members = value[bounds[i] : bounds[i + 1]]
                         own = int(np.searchsorted(edges, len(members), side="right")) - 1
-                        for band in (own, own + 1):
+                        for band in range(own, reach(edges, len(members), percent) + 1):
                             m = min(SKETCH, 3 * (2 * (100 - percent) * bands[band].most // (100 + percent) + 1))
                             segment = (((members >> U(32)) * U(m)) >> U(32)).astype(np.int64)
                             edge = np.searchsorted(segment, np.arange(m + 1))
@@ -276,7 +283,7 @@ def _closest(percent: int, most: int | None):
         owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
         known, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         holds = np.zeros((len(node), len(known)), np.float32)
-        holds[owner, column] = 1
+        holds[owner, column] = 1  # none for the holders of a family
         two_blocks = bool((side == 1).any())
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first_round = again.all()
@@ -302,7 +309,7 @@ def _closest(percent: int, most: int | None):
             out_b.append(node[j0:][js])
         return np.concatenate(out_a), np.concatenate(out_b)
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
+    def run(key: tuple, group: pa.Table) -> pa.Table:  # key: sig, band and blocks
         a, b = pairs(group)
         columns = [np.full(len(a), key[0].as_py()), np.minimum(a, b), np.maximum(a, b)]
         return pa.Table.from_arrays([pa.array(x) for x in columns], ["sig", "a", "b"])
@@ -373,11 +380,46 @@ def _verify(pairs: DataFrame, known: DataFrame, words: int, percent: int) -> Dat
 
 def _open(held: DataFrame, label: DataFrame) -> DataFrame:
     """Holders, with their components, of the signatures whose holders are not all in one component."""
-    placed = held.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = held.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     return placed.join(apart.filter("c0 <> c1").select("sig"), "sig")
 
 
+def _families(open_: DataFrame, work: Work) -> DataFrame:
+    """Groups whose holders are compared: (sig, node, band, holders, whole).
+
+    `open_` has the holders (node, a: the least one, component) of crowded
+    signatures.  Signatures of one band with a chain of common holders are a
+    family.  Its holders meet once (`whole`; sig is then the family's name,
+    below 0) if their pairs across components are no more than those of all its
+    signatures one by one; otherwise each signature stays a group of its own.
+    """
+    member = F.xxhash64("node", "band")
+    edges = open_.select(member.alias("a"), F.xxhash64("a", "band").alias("b"))
+    family = components(edges, work).select(F.col("node").alias("member"), F.col("component").bitwiseOR(F.lit(-(1 << 63))).alias("family"))
+    named = work.save(open_.withColumn("member", member).join(family, "member", "left"))
+    # A signature whose holders are all one node's has no edge, and no pair either.
+    named = named.filter("family IS NOT NULL")
+
+    def pairs(groups: DataFrame, *by: str) -> DataFrame:
+        parts = groups.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
+        return parts.groupBy(*by).agg(
+            F.sum("n").alias("holders"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).cast("double").alias("pairs")
+        )
+
+    members = work.save(named.select("family", "band", "node", "component").distinct())
+    whole = pairs(members, "family", "band")
+    single = pairs(named, "family", "band", "sig").groupBy("family", "band").agg(F.sum("pairs").alias("single"))
+    choice = work.save(whole.join(single, ["family", "band"]).withColumn("whole", F.col("pairs") <= F.col("single")))
+    once = members.join(choice.filter("whole"), ["family", "band"]).select(
+        F.col("family").alias("sig"), "node", "band", "holders", F.lit(True).alias("whole")
+    )
+    each = named.join(choice.filter("NOT whole").select("family", "band"), ["family", "band"]).select(
+        "sig", "node", "band", "holders", F.lit(False).alias("whole")
+    )
+    return work.save(once.unionByName(each))
+
+
 def jaccard_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -406,6 +448,11 @@ def jaccard_groups(
     band = sum((F.col("size") >= e).cast("int") for e in edges[1:])
     own = nodes.select("n", F.col("n").alias("size")).select("n", band.alias("band"))
     nxt = nodes.select("n", (F.col("n") * 100 / percent).cast("bigint").alias("size")).select("n", band.alias("band"))
+    if 100 > percent * BAND_RATIO:  # bands between the own and the last one
+        both = nodes.select("n", F.col("n").alias("own"), (F.col("n") * 100 / percent).cast("bigint").alias("size"))
+        both = both.select("n", band.alias("high"), F.col("own").alias("size")).select("n", "high", band.alias("low"))
+        between = F.when(F.col("high") > F.col("low") + 1, F.sequence(F.col("low") + 1, F.col("high") - 1))
+        nxt = nxt.unionByName(both.select("n", F.explode(between).alias("band")))
     counts = own.unionByName(nxt).groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).collect()
     bands = allocate(edges, {r.band: (r.c, r.s) for r in counts}, percent)
     expected = sum(r.c * bands[r.band].segments + r.s * bands[r.band].deletions for r in counts) // 2
@@ -447,12 +494,14 @@ def jaccard_groups(
     across = work.save(_sift(across.join(tested, ["a", "b"], "left_anti"), sketches, percent))
     linked = linked.unionByName(work.save(_verify(across, known, words, percent)))
     tested = tested.unionByName(across)
-    crowded = held.filter(F.col("holders") > FEW)
+    crowded = _open(held.filter(F.col("holders") > FEW), label).withColumn("band", band)
+    groups = _families(work.save(crowded.drop("c0", "c1")), work)
 
     again = None  # holders whose partners have not all come out
     for most in CLOSEST:
-        open_ = work.save(_open(crowded, label))
-        lists = open_.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))  # at most its segments
+        open_ = work.save(_open(groups, label))
+        # Of the signatures a pair shares, the first one's group compares it; a family has all pairs of its holders.
+        lists = open_.filter("NOT whole").groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))
         if again is None:
             open_ = open_.withColumn("again", F.lit(True))
         else:
@@ -462,12 +511,13 @@ def jaccard_groups(
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         spread = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         spread = spread.select(
-            "sig", "node", "component", "again", F.least("own", "other").alias("lo"),
+            "sig", "node", "component", "again", "whole", "band", F.least("own", "other").alias("lo"),
             F.greatest("own", "other").alias("hi"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
-        ).withColumn("band", band)
+        )
         spread = spread.join(sketches, ["node", "band"])
-        spread = spread.join(lists, "node").withColumn("before", F.filter("sigs", lambda s: s < F.col("sig"))).drop("sigs")
-        near = spread.groupBy("sig", "lo", "hi").applyInArrow(_closest(percent, most), "sig bigint, a bigint, b bigint")
+        earlier = F.when(F.col("whole"), F.array().cast("array<bigint>")).otherwise(F.filter("sigs", lambda s: s < F.col("sig")))
+        spread = spread.join(lists, "node", "left").withColumn("before", earlier).drop("sigs", "whole")
+        near = spread.groupBy("sig", "band", "lo", "hi").applyInArrow(_closest(percent, most), "sig bigint, a bigint, b bigint")
         near = work.save(near)
         again = near.filter("a = b").select("sig", F.col("a").alias("node")).distinct()
         fresh = near.filter("a <> b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
