@@ -38,7 +38,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Hash, row, first byte and end of every word."""
     lower = LOWER[data]
     first, last = runs(WORD[lower], bounds)
-    return Hashes(lower).of(first, last), np.searchsorted(bounds, first, side="right") - 1, first, last
+    return Hashes(lower).words(first, last), np.searchsorted(bounds, first, side="right") - 1, first, last
 
 
 def _windows(size: int):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 ODD = 0xD6E8FEB86659FD93
@@ -67,11 +68,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+LONG_WORD = 64
+
+
 class Hashes:
     """Hashes of any byte ranges of one array, equal for equal bytes wherever they stand."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        self._data = data
         self._back = powers(_INVERSE, n + 1)
         self._sums = np.zeros(n + 1, U)
         np.cumsum(_LETTERS[data] * powers(ODD, n), out=self._sums[1:])
@@ -79,6 +84,18 @@ class Hashes:
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sums[end] - self._sums[begin]) * self._back[begin] + (end - begin).astype(U))
 
+    def words(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of words.
+
+        Sums of powers are the same for some pairs of long words, whatever the
+        base (Thue and Morse's word and its complement), so beyond LONG_WORD bytes
+        another hash takes their place.
+        """
+        names = self.of(begin, end)
+        for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+            names[i] = xxhash.xxh3_64_intdigest(self._data[begin[i] : end[i]].tobytes())
+        return names
+
     def grams(self, size: int) -> np.ndarray:
         """Of every run of `size` bytes, unmixed in its low bits."""
         sums = self._sums

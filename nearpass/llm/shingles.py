@@ -27,7 +27,7 @@ def sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.nda
     for begin, end, data, bounds in slices(column, SLICE_BYTES):
         lower = LOWER[data]
         first, last = runs(WORD[lower], bounds)
-        word = Hashes(lower).of(first, last)
+        word = Hashes(lower).words(first, last)
         row = np.searchsorted(bounds, first, side="right") - 1
         count = np.bincount(row, minlength=end - begin)
         ends = np.cumsum(count)
