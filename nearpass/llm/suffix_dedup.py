@@ -259,7 +259,9 @@ def remove_repeats(
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     rows = rows.withColumn("key", F.xxhash64("_id", "text"))
     spans = work.save(repeated_spans(rows.select("key", "text"), work, size))
-    listed = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    # Rows equal in key and text have the same spans, which count once.
+    once = spans.select("key", "lo", "hi").distinct()
+    listed = once.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     # Texts without a span need no join.
     found = meets(rows, spans, "key").join(listed, "key", "left")
     clean = misses(rows, spans, "key").withColumn("spans", F.lit(None).cast(listed.schema["spans"].dataType))
