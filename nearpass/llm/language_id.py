@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearpass.llm.scan import slices
-from nearpass.llm.work import Work, without
+from nearpass.llm.work import Work, columns_of, fresh, without
 
 TABLE = 1 << 15
 SLICE_BYTES = 1 << 19
@@ -267,7 +267,8 @@ def languages_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are not rejected."""
-    row = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    judged = identify(document_evidence(row).withColumn("_row", F.xxhash64("doc_id", "text")), docs)
-    rejected = Work(docs.sparkSession).save(judged.filter("rejected").select("_row").distinct())
-    return without(row, rejected, "_row").select(*docs.columns)
+    [name] = fresh(docs, "row_key")
+    own = F.xxhash64("doc_id", "text").alias(name)
+    judged = identify(document_evidence(docs), docs).filter("rejected").select(own).distinct()
+    rejected = Work(docs.sparkSession).save(judged)
+    return without(docs.select(*columns_of(docs), own), rejected, name).select(*columns_of(docs))

@@ -89,6 +89,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where the table has such a column (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Key and text alone, under names that cannot clash; a null text is empty."""
     return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -116,15 +133,14 @@ BITS = 1 << 23
 
 
 def _marked(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    """Rows with `_maybe`: false if the key is certainly not in `others`, by a bitmap of fixed size."""
+    """Rows and a last column: false if the key is certainly not in `others`, by a bitmap of fixed size."""
+    n_place, n_word, n_bits, n_maybe = fresh(rows, "_place", "_word", "_bits", "_maybe")
     place = F.pmod(F.xxhash64(key), F.lit(BITS))
-    bit = F.expr("shiftleft(1L, CAST(_place & 63L AS INT))")
-    words = others.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(
-        F.bit_or(bit).alias("_bits")
-    )
-    placed = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6))
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
-    return placed.join(F.broadcast(words), "_word", "left").withColumn("_maybe", maybe)
+    bit = F.expr(f"shiftleft(1L, CAST({n_place} & 63L AS INT))")
+    words = others.select(place.alias(n_place)).groupBy(F.shiftright(n_place, 6).alias(n_word)).agg(F.bit_or(bit).alias(n_bits))
+    placed = rows.withColumn(n_place, place).withColumn(n_word, F.shiftright(n_place, 6))
+    maybe = F.coalesce(F.col(n_bits).bitwiseAND(bit) != 0, F.lit(False))
+    return placed.join(F.broadcast(words), n_word, "left").select(*columns_of(rows), maybe.alias(n_maybe))
 
 
 def meets(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
@@ -134,12 +150,14 @@ def meets(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     what is broadcast, whatever the number of keys; it only spares large rows
     the shuffle of the join that follows.
     """
-    return _marked(rows, others, key).filter("_maybe").select(*rows.columns)
+    marked = _marked(rows, others, key)
+    return marked.filter(F.col(marked.columns[-1])).select(*columns_of(rows))
 
 
 def misses(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """The rows that `meets` leaves out: their key is certainly not in `others`."""
-    return _marked(rows, others, key).filter("NOT _maybe").select(*rows.columns)
+    marked = _marked(rows, others, key)
+    return marked.filter(~F.col(marked.columns[-1])).select(*columns_of(rows))
 
 
 def without(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
