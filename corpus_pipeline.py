@@ -18,12 +18,17 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from nearpass.llm import jaccard_join, language_id, pattern_packing, positional_index, suffix_dedup  # noqa: E402
-from nearpass.llm.work import Work, forget, meets, misses, release, without  # noqa: E402
+from nearpass.llm.work import Work, columns_of, forget, fresh, meets, misses, release, without  # noqa: E402
 from nearpass.session import configure  # noqa: E402
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose language is rejected: no letters, or noise."""
+    """Without documents whose language is rejected: no letters, or noise.
+
+    Null and empty texts are rejected.  Repeated rows are judged alike, rows of
+    one id with different texts each for itself.  An empty table stays empty.
+    Extra columns of any name come through, here and in all stages but the last.
+    """
     forget()
     return language_id.keep_identified(docs)
 
@@ -41,41 +46,57 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     stays.  Documents without words or without an id stay.
     """
     release()
-    rows = docs.withColumn("_row", row_key())
+    [key] = fresh(docs, "row_key")
+    rows = docs.select(*columns_of(docs), row_key().alias(key))
     # Ordered by id, and a row without an id names a group only if all are without.
-    named = rows.withColumn("_doc", F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", F.col("_row").alias("row")))
-    groups = jaccard_join.jaccard_groups(named, key="_doc", words=5, percent=80)
-    groups = Work(spark).save(groups.filter("NOT _doc.nameless").select("_doc.row", (F.col("_doc") == F.col("component_id")).alias("stays")))
-    gone = groups.filter("NOT stays").select(F.col("row").alias("_row"))
-    twice = groups.groupBy(F.col("row").alias("_row")).count().filter("count > 1").select("_row")
-    kept = without(rows.filter("doc_id IS NOT NULL"), gone, "_row")
-    once = misses(kept, twice, "_row")
-    rest = meets(kept, twice, "_row").dropDuplicates(["_row"])
-    return once.unionByName(rest).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    own = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", row_key().alias("row"))
+    groups = jaccard_join.jaccard_groups(docs.select(own.alias("doc"), "text"), key="doc", words=5, percent=80)
+    groups = groups.filter("NOT doc.nameless").select(F.col("doc.row").alias(key), (F.col("doc") == F.col("component_id")).alias("stays"))
+    groups = Work(spark).save(groups)
+    gone = groups.filter("NOT stays").select(key)
+    twice = groups.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+    kept = without(rows.filter("doc_id IS NOT NULL"), gone, key)
+    once = misses(kept, twice, key)
+    rest = meets(kept, twice, key).dropDuplicates([key])
+    return once.union(rest).select(*columns_of(docs)).union(docs.filter("doc_id IS NULL"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 200-byte strings that occur more than once; a text of which nothing is left goes."""
+    """Texts without the bytes of 200-byte strings that occur more than once; a text of which nothing is left goes.
+
+    Null and empty texts stay as they are.  Repeated rows are each other's
+    copies: nothing of a text of 200 bytes or more is left, and all of them go.
+    """
     release()
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    cut = suffix_dedup.remove_repeats(docs, with_text=True, carry=others)
+    names = [f"column_{k}" for k in range(len(docs.columns))]  # of the input's columns while they are carried
+    place = {c.lower(): name for c, name in zip(docs.columns, names, strict=True)}
+    hidden = [c.alias(name) for c, name in zip(columns_of(docs), names, strict=True)]
+    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text", *hidden), with_text=True, carry=tuple(names))
     changed = F.col("n_removed") > 0
-    cut = cut.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-    cut = cut.withColumn("n_chars", F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars")))
-    return cut.filter(~changed | (F.trim("kept_text") != "")).select(*docs.columns)
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col(place["text"]))}
+    if "n_chars" in place:
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col(place["n_chars"]))
+    left = cut.filter(~changed | (F.trim("kept_text") != ""))
+    return left.select(*[new.get(c.lower(), F.col(name)).alias(c) for c, name in zip(docs.columns, names, strict=True)])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold passages of the benchmark; each text of an id is judged alone, and so are rows without an id."""
     release()
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = docs.withColumn("_row", row_key())
-    bad = positional_index.contamination(rows, benchmark, key="_row").filter("contaminated").select("_row")
-    return without(rows, Work(spark).save(bad), "_row").select(*docs.columns)
+    [key] = fresh(docs, "row_key")
+    judged = positional_index.contamination(docs.select(row_key().alias(key), "text"), benchmark, key=key)
+    bad = Work(spark).save(judged.filter("contaminated").select(key))
+    rows = docs.select(*columns_of(docs), row_key().alias(key))
+    return without(rows, bad, key).select(*columns_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens.
+
+    Null and empty texts are a closing id alone; repeated rows are packed each
+    for itself; an empty table gives no rows; extra columns are not read.
+    """
     release()
     return pattern_packing.pack(docs)
 
