@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +31,38 @@ from nearpass.llm.work import Work
 
 HEAVY = 1 << 18  # pairs whose counts every task holds
 SHIFT = 32  # a pair is id of A << SHIFT | id of B
+MOST_ID = 99_999
+PROBE = 32  # bytes of the first probe, four for an end
 FLUSH = 1 << 21  # pairs that a task counts before it passes them on
 
 
+@dataclass(frozen=True)
+class Side:
+    """One tokenizer: ids of a text, and the bytes of all ids one after another, with their places and numbers."""
+
+    ids: Callable[[str], np.ndarray]
+    letters: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def spells(self, ids: np.ndarray, ends: np.ndarray, raw: bytes) -> bool:
+        """Whether the tokens, which end at `ends`, give the text back."""
+        if int(ends[-1]) != len(raw):
+            return False
+        sizes = self.sizes[ids]
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes)
+        at += np.arange(len(raw), dtype=np.int32)
+        return bool((self.letters[at] == np.frombuffer(raw, np.uint8)).all())
+
+
+def _side(ids: Callable[[str], np.ndarray], parts: list[bytes]) -> Side:
+    sizes = np.array([len(x) for x in parts], np.int32)
+    return Side(ids, np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
+
+
 @lru_cache(maxsize=2)
-def tokenizers(folder: str | None):
-    """Two functions, text -> (ids, their bytes in order): A over a space and the text, B over the text.
+def tokenizers(folder: str | None) -> tuple[Side, Side]:
+    """A, which tokenises a space and the text, and B, which tokenises the text.
 
     A's vocabulary is read through `tiktoken`, which gives the ids that
     `tokenizers` gives for it with special tokens as plain text, and several
@@ -50,105 +77,123 @@ def tokenizers(folder: str | None):
     with open(where("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    a_bytes = [b""] * (max(ranks.values()) + 1)
+    a_parts = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        a_bytes[rank] = token
+        a_parts[rank] = token
     pieces = sentencepiece.SentencePieceProcessor(model_file=where("piece_bpe_32k.model"))
-    b_bytes = []
+    b_parts = []
     for i in range(pieces.get_piece_size()):
         piece = pieces.id_to_piece(i)
-        b_bytes.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode())
+        b_parts.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode())
     exact: list[Tokenizer] = []
 
-    def a_ids(text: str) -> list[int]:
+    def a_ids(text: str) -> np.ndarray:
         try:
-            return fast.encode_ordinary(" " + text)
+            return np.array(fast.encode_ordinary(" " + text), np.int64)
         except BaseException as error:  # the library reports a failed pattern as a panic
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
         if not exact:
             exact.append(Tokenizer.from_file(where("byte_bpe_50k.json")))
             exact[0].encode_special_tokens = True
-        return exact[0].encode(" " + text, add_special_tokens=False).ids
-
-    def b_ids(text: str) -> list[int]:
-        return pieces.encode(text, num_threads=1)
+        return np.array(exact[0].encode(" " + text, add_special_tokens=False).ids, np.int64)
 
-    def of(ids_of, table: list[bytes]):
-        def run(text: str) -> tuple[list[int], list[bytes]]:
-            ids = ids_of(text)
-            return ids, [table[i] for i in ids]
+    def b_ids(text: str) -> np.ndarray:
+        return np.array(pieces.encode(text, num_threads=1), np.int64)
 
-        return run
+    return _side(a_ids, a_parts), _side(b_ids, b_parts)
 
-    return of(a_ids, a_bytes), of(b_ids, b_bytes)
 
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups and links of two ascending arrays of ends with the same last one.
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Groups and links of two ascending lists of ends with the same last one.
-
-    The first two lists say how many tokens of each side end with each group;
-    the other two name the tokens of each link.
+    The first two arrays say how many tokens of each side end with each group;
+    the other two name the tokens of each link, in no order.
     """
-    i = j = 0
-    ends_a, ends_b, link_a, link_b = [], [], [], []
     n = len(a)
+    # Stretches are compared as bytes, four for an end.
+    flat_a, flat_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+    left, right = memoryview(flat_a).cast("I"), memoryview(flat_b).cast("I")
+    number = int.from_bytes
+    i = j = 0
+    starts_a, starts_b, lengths = [], [], []  # of the stretches
+    ends_a, ends_b, link_a, link_b = [], [], [], []  # of the other groups
     while i < n:
-        # Stretch of equal ends at the shift j - i: double it while it holds, then halve the step.
-        length, step = 0, 1
-        while a[i + length : i + length + step] == b[j + length : j + length + step] and i + length < n:
-            length += step
+        # At the shift j - i: double the probe while it holds; where it fails, its lowest unequal bit tells the place.
+        at_a, at_b, step = 4 * i, 4 * j, PROBE
+        while True:
+            u, v = flat_a[at_a : at_a + step], flat_b[at_b : at_b + step]
+            if u != v or not u:
+                break
+            at_a += step
+            at_b += step
             step += step
-        length = min(length, n - i)
-        while step > 1:
-            step >>= 1
-            if i + length + step <= n and a[i + length : i + length + step] == b[j + length : j + length + step]:
-                length += step
+        at_a, at_b = min(at_a, 4 * n), min(at_b, len(flat_b))
+        if u:
+            size = min(len(u), len(v))
+            odd = number(u[:size], "little") ^ number(v[:size], "little")
+            at_a += 4 * (((odd & -odd).bit_length() - 1) >> 5) if odd else size
+        length = (at_a >> 2) - i
         if length:
-            ends_a.extend(range(i + 1, i + length + 1))
-            ends_b.extend(range(j + 1, j + length + 1))
-            link_a.extend(range(i, i + length))
-            link_b.extend(range(j, j + length))
+            starts_a.append(i)
+            starts_b.append(j)
+            lengths.append(length)
             i += length
             j += length
+            if i == n:
+                break
         # A group that is not one to one, up to the next common end.
-        while i < n:
+        x, y = left[i], right[j]
+        while True:
             link_a.append(i)
             link_b.append(j)
-            left, right = a[i], b[j]
-            if left <= right:
+            if x < y:
                 i += 1
-            if right <= left:
+                x = left[i]
+            elif y < x:
                 j += 1
-            if left == right:
-                ends_a.append(i)
-                ends_b.append(j)
+                y = right[j]
+            else:
                 break
-    return ends_a, ends_b, link_a, link_b
-
-
-_POWERS = 10 ** np.arange(9, -1, -1, dtype=np.int64)
+        i += 1
+        j += 1
+        ends_a.append(i)
+        ends_b.append(j)
+    count = np.array(lengths, np.int64)
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    run_a, run_b = (np.repeat(np.array(x, np.int64), count) + inside for x in (starts_a, starts_b))
+    # Both sides' ends ascend from group to group, so sorting keeps them paired.
+    groups = (np.sort(np.concatenate([run + 1, np.array(x, np.int64)])) for run, x in ((run_a, ends_a), (run_b, ends_b)))
+    links = (np.concatenate([run, np.array(x, np.int64)]) for run, x in ((run_a, link_a), (run_b, link_b)))
+    return *groups, *links
+
+
+@lru_cache(maxsize=1)
+def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of the numbers up to `most`, a place for what follows, and which of these places are in use."""
+    digits = len(str(most))
+    number = np.arange(most + 1)[:, None]
+    powers = 10 ** np.arange(digits - 1, -1, -1)
+    cells = np.zeros((most + 1, digits + 1), np.uint8)
+    cells[:, :digits] = number // powers % 10 + ord("0")
+    shown = np.ones((most + 1, digits + 1), bool)
+    shown[:, : digits - 1] = number >= powers[:-1]
+    return cells, shown
 
 
 def groups_text(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
     """`a1,a2|b1;a3|b2,b3`: decimal ids of A and of B, group by group."""
-    a, b = len(ids_a), len(ids_b)
-    group_a = np.searchsorted(ends_a, np.arange(a), side="right")
-    group_b = np.searchsorted(ends_b, np.arange(b), side="right")
-    ids, stop = np.zeros(a + b, np.int64), np.full(a + b, ord(","), np.uint8)
-    at_a = np.arange(a) + np.concatenate([[0], ends_b])[group_a]
-    at_b = np.arange(b) + ends_a[group_b]
+    before_a, before_b = (np.concatenate([[0], x[:-1]]) for x in (ends_a, ends_b))
+    at_a = np.arange(len(ids_a)) + np.repeat(before_b, ends_a - before_a)
+    at_b = np.arange(len(ids_b)) + np.repeat(ends_a, ends_b - before_b)
+    ids = np.empty(len(at_a) + len(at_b), np.int64)
     ids[at_a], ids[at_b] = ids_a, ids_b
-    stop[at_a[ends_a - 1]] = ord("|")
-    stop[at_b[ends_b - 1]] = ord(";")
-    digits = max(1, len(str(int(ids.max()))))
-    powers = _POWERS[-digits:]
-    cells = np.empty((a + b, digits + 1), np.uint8)
-    cells[:, :digits] = ids[:, None] // powers % 10 + ord("0")
-    cells[:, digits] = stop
-    shown = np.ones((a + b, digits + 1), bool)
-    shown[:, : digits - 1] = ids[:, None] >= powers[:-1]
-    return cells[shown][:-1].tobytes()
+    digits, shown = _decimals(MOST_ID)
+    cells = digits[ids]
+    cells[:, -1] = ord(",")
+    cells[at_a[ends_a - 1], -1] = ord("|")
+    cells[at_b[ends_b - 1], -1] = ord(";")
+    return cells[shown[ids]][:-1].tobytes()
 
 
 def _aligned(folder: str | None):
@@ -158,17 +203,16 @@ def _aligned(folder: str | None):
          ("pairs", pa.binary()), ("times", pa.binary())]
     )
 
-    def one(text: str, side_a, side_b) -> tuple:
+    def one(text: str, side_a: Side, side_b: Side) -> tuple:
         nothing = (0, 0, 0, 0, "", b"", b"")
         if not text:
             return nothing
         raw = (" " + text).encode()
-        (ids_a, parts_a), (ids_b, parts_b) = side_a(text), side_b(text)
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+        ids_a, ids_b = side_a.ids(text), side_b.ids(text)
+        a, b = (np.cumsum(side.sizes[ids], dtype=np.int32) for side, ids in ((side_a, ids_a), (side_b, ids_b)))
+        if not len(a) or not len(b) or not side_a.spells(ids_a, a, raw) or not side_b.spells(ids_b, b, raw):
             return nothing
-        ends = [np.cumsum(np.fromiter(map(len, x), np.int64, len(x))).tolist() for x in (parts_a, parts_b)]
-        ends_a, ends_b, link_a, link_b = (np.array(x, np.int64) for x in align(*ends))
-        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b, link_a, link_b = align(a, b)
         digest = hashlib.sha256(groups_text(ids_a, ids_b, ends_a, ends_b)).hexdigest()
         pairs, times = np.unique(ids_a[link_a] << SHIFT | ids_b[link_b], return_counts=True)
         figures = (len(ids_a), len(ids_b), len(ends_a), len(link_a), digest)
