@@ -25,6 +25,9 @@ from nearpass.llm.work import Work
 
 # Licence names and the wording of their notices and texts.
 TEMPLATES = {
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "Apache-1.0": ["Licensed under the Apache License, Version 1.0."],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", license_texts.APACHE_2_0],
     "MIT": [
         "Released under the MIT License.",
@@ -37,12 +40,26 @@ TEMPLATES = {
         " the Software.",
         license_texts.MIT,
     ],
+    "GPL": ["This work is licensed under the GNU General Public License."],
+    "GPL-1.0": ["This work is licensed under the GNU General Public License, version 1."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", license_texts.GPL_3_0],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", license_texts.GPL_2_0],
+    "LGPL-2.0": ["This work is licensed under the GNU Library General Public License, version 2."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "MPL-1.1": ["Licensed under the Mozilla Public License, version 1.1."],
+    "MPL-2.0": [
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", license_texts.CC0_1_0],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", license_texts.BSD_3_CLAUSE, license_texts.BSD_3_CLAUSE_REGENTS],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
@@ -51,7 +68,11 @@ TEMPLATES = {
     ],
     "proprietary": ["All rights reserved.", "All rights reserved. No part of this text may be reproduced without permission."],
 }
+# What makes a notice say the opposite.
+NEGATIONS = {"is licensed": "is not licensed", "Licensed under": "Not licensed under", "Released under": "Not released under", "Dedicated to": "Not dedicated to"}
+NEGATED = ""
 DICE = 0.8
+NEAR = 0.6  # coefficient from which on two templates are neighbours
 SLICE_BYTES = 1 << 18
 
 # Normalised text: ASCII letters lower-cased; runs of letters, digits and bytes beyond ASCII are the words.
@@ -143,23 +164,41 @@ class _Places:
 
 
 class Bags:
-    """Bigrams of all templates, and of each template its licence, its bigrams' numbers and counts."""
+    """Bigrams of all templates, and of each template its licence, its bigrams' numbers and counts, and what tells it apart.
+
+    A template's neighbours are those of other licences that are much like it.
+    The bigrams it has and a neighbour lacks tell the two apart: a passage that
+    holds none of them speaks of neither, as a notice of a version that no
+    template has.  Notices are also known with a `not` in them; what is nearest
+    to such a wording names no licence.
+    """
 
     def __init__(self, templates: dict[str, list[str]]):
-        bags = [(name, *_bag(text)) for name, texts in sorted(templates.items()) for text in texts]
+        named = [(name, text) for name, texts in sorted(templates.items()) for text in texts]
+        named += [(NEGATED, text.replace(plain, negated, 1)) for _, text in named for plain, negated in NEGATIONS.items() if plain in text[:40]]
+        bags = [(name, *_bag(text)) for name, text in named]
         self.known = np.unique(np.concatenate([members for _, members, _ in bags]))
         self.each = []
         for licence, members, counts in bags:
             number = np.full(len(self.known), -1, np.int32)
             number[np.searchsorted(self.known, members)] = np.arange(len(members))
+            telling = []
+            for other, theirs, their_counts in bags:
+                if other in (licence, NEGATED) or licence == NEGATED:
+                    continue
+                both, mine, yours = np.intersect1d(members, theirs, return_indices=True)
+                common = np.minimum(counts[mine], their_counts[yours]).sum() if len(both) else 0
+                own = np.setdiff1d(np.arange(len(members)), mine)
+                if len(own) and 2 * common >= NEAR * (counts.sum() + their_counts.sum()):
+                    telling.append(own)
             if len(members):
-                self.each.append((licence, number, counts))
+                self.each.append((licence, number, counts, telling))
 
 
 def matches(data: np.ndarray, bounds: np.ndarray, bags: Bags, dice: float) -> list[tuple[int, str, float]]:
     """(row, licence, coefficient) of the passages of all templates that reach `dice`.
 
-    Those with most in common come first.  Of the others those go that share
+    A licence may be NEGATED: a notice that says it does not hold.  Those with most in common come first.  Of the others those go that share
     more than half of what they have in common with passages before them, as a
     notice of version 2 does in one of version 3, or a notice quoted in a text.
     """
@@ -170,12 +209,15 @@ def matches(data: np.ndarray, bounds: np.ndarray, bags: Bags, dice: float) -> li
     at = np.flatnonzero(bags.known[place] == pair)
     known, stop = place[at], np.searchsorted(row, row[at], side="right")
     found = []
-    for licence, number, counts in bags.each:
+    for licence, number, counts, telling in bags.each:
         name = number[known]
         own = name >= 0
         places = _Places(at[own], name[own], stop[own], counts, dice)
         for first, last, value in places.passages():
-            common = places.at[first : last + 1][places.before[first : last + 1] < first]
+            held = places.before[first : last + 1] < first
+            common = places.at[first : last + 1][held]
+            if telling and not all(np.isin(own_ones, name[own][first : last + 1][held]).any() for own_ones in telling):
+                continue
             found.append((-len(common), -value, licence, int(common[0]), common))
     taken = np.zeros(len(pair), bool)
     kept = []
@@ -194,6 +236,8 @@ def _scan(templates: dict[str, list[str]], dice: float):
             best: list[dict[str, tuple[float, int]]] = [{} for _ in range(batch.num_rows)]
             for begin, _, data, bounds in slices(batch.column("text"), SLICE_BYTES):
                 for row, licence, value in matches(data, bounds, bags, dice):
+                    if licence == NEGATED:
+                        continue
                     top, n = best[begin + row].get(licence, (0.0, 0))
                     best[begin + row][licence] = max(top, value), n + 1
             names = [sorted(x) for x in best]
@@ -221,7 +265,9 @@ def scan_licenses(
     matches a template if their coefficient is at least `dice`.  Of overlapping
     passages of a template the best counts; of those of several templates the
     one with most bigrams in common, and others if at least half of theirs are
-    not among those.  Equal coefficients take the first name.
+    not among those.  Equal coefficients take the first name.  Where templates are
+    neighbours, as versions of a licence, the words in which they differ decide,
+    and a notice with a `not` names no licence.
 
     Null and empty texts, and those of fewer than two words, match nothing.
     Repeated rows match alike; a null key stays null.  Other columns are not

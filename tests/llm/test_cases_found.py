@@ -10,7 +10,17 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearpass.llm import cap_filters, jaccard_join, positional_index, quality, sharding, suffix_dedup, token_rows
+from nearpass.llm import (
+    cap_filters,
+    jaccard_join,
+    language_id,
+    license_scan,
+    positional_index,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_rows,
+)
 from nearpass.llm.queries import QUERIES
 from nearpass.llm.work import Work
 
@@ -241,3 +251,41 @@ def test_features_one_row_at_a_time():
     for i, d in enumerate(data):
         alone = quality.features(np.frombuffer(d, np.uint8), np.array([0, len(d)]))
         assert np.allclose(together[i], alone[0])
+
+
+def test_neighbouring_licences(spark):
+    """Versions and variants of a licence are told apart; what no template has, and denials, name none."""
+    gnu = "This work is {}licensed under the GNU {}General Public License{}"
+    cases = {
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        gnu.format("", "", ", version 1."): "GPL-1.0",
+        gnu.format("", "", ", version 2."): "GPL-2.0",
+        gnu.format("", "", ", version 3."): "GPL-3.0",
+        gnu.format("", "", "."): "GPL",
+        gnu.format("", "Affero ", ", version 3."): "AGPL-3.0",
+        gnu.format("", "Lesser ", ", version 2.1."): "LGPL-2.1",
+        gnu.format("not ", "", ", version 3."): None,
+        "We say: not released under the MIT License.": None,
+        "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Licensed under CC BY 3.0.": "CC-BY-3.0",
+    }
+    prose = "Some words about the town, and more of them in the evening. "
+    table = spark.createDataFrame([(k, prose + t + " " + prose) for k, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(table).collect()}
+    for k, (text, licence) in enumerate(cases.items()):
+        assert got[k].license == licence and got[k].licenses == ([licence] if licence else []), text
+
+
+def test_language_by_text_alone(spark):
+    """Documents left out of the model, without any declared language, host or suffix."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND n_chars > 300")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    none = F.lit(None).cast("string")
+    blank = {c: none for c in ("declared", "host", "domain", "suffix")}
+    rows = docs.filter(held).select("doc_id", "text", F.col("lang").alias("truth")).withColumns(blank)
+    judged = language_id.identify(rows, docs.filter(~held)).collect()
+    assert len(judged) > 100 and sum(r.language == r.truth for r in judged) >= 0.97 * len(judged)
