@@ -21,3 +21,8 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small():
     return SMALL
+
+
+def pytest_collection_modifyitems(items):
+    """The heavier tests of the text operators come last, so that a lost JVM there spoils no other result."""
+    items.sort(key=lambda item: "llm" in item.path.parts)
