@@ -30,6 +30,9 @@ from nearpass.llm.components import components
 from nearpass.llm.work import Work
 
 MEMBERS = 2048  # vectors of one filter that one task compares with as many
+FEW = 48  # members of a filter up to which its pairs are made along with those of other filters
+PAIRS = 20_000  # pairs that are asked for earlier filters at a time
+BUCKET = 20_000  # rows of filters that are worked on together, about
 USUAL = 10_000  # vectors of a label from which on a code has more words
 
 
@@ -130,17 +133,33 @@ def _filters(most: int):
     return run
 
 
-def _met_before(lists: pa.ListArray, some: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of the pairs (places in `some`) share a filter of their lists."""
-    chosen = lists.take(pa.array(some))
-    owner = np.repeat(np.arange(len(some)), np.diff(chosen.offsets.to_numpy()))
-    _, column, held = np.unique(chosen.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    shared = held[column] > 1  # a filter of one vector alone decides nothing
+def _met_before(offsets: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows have a number in common; row k has the distinct numbers offsets[k] to offsets[k + 1]."""
+    met = np.zeros(len(left), bool)
+    most = int(values.max()) + 1 if len(values) else 1
+    for start in range(0, len(left), PAIRS):
+        keys = []
+        for rows in (left[start : start + PAIRS], right[start : start + PAIRS]):
+            size = offsets[rows + 1] - offsets[rows]
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            keys.append(np.repeat(np.arange(len(rows)) * most, size) + values[np.repeat(offsets[rows], size) + inside])
+        both = np.sort(np.concatenate(keys))
+        met[start + both[1:][both[1:] == both[:-1]] // most] = True
+    return met
+
+
+def _crowd_met(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same for many pairs among few rows (places in `rows`), by one bit for each number that several of them have."""
+    size = offsets[rows + 1] - offsets[rows]
+    owner = np.repeat(np.arange(len(rows)), size)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    _, column, held = np.unique(values[np.repeat(offsets[rows], size) + inside], return_inverse=True, return_counts=True)
+    shared = held[column] > 1
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
     width = int(column.max()) + 1 if len(column) else 1
-    edge = np.searchsorted(owner, np.arange(len(some) + 1))
-    bits = np.zeros((len(some), -(-width // 8)), np.uint8)
-    for i in range(len(some)):
+    edge = np.searchsorted(owner, np.arange(len(rows) + 1))
+    bits = np.zeros((len(rows), -(-width // 8)), np.uint8)
+    for i in range(len(rows)):
         line = np.zeros(width, bool)
         line[column[edge[i] : edge[i + 1]]] = True
         bits[i] = np.packbits(line)
@@ -152,46 +171,81 @@ def _met_before(lists: pa.ListArray, some: np.ndarray, left: np.ndarray, right:
     return met
 
 
-def _linked(cosine: float):
-    """Links inside a group: for each vector how many others, and the one that names its component there."""
+def _links(group: np.ndarray, side: np.ndarray, unit: np.ndarray, lists: pa.ListArray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that link and that no earlier filter has; groups are runs of equal numbers.
 
-    def run(_key: tuple, group: pa.Table) -> pa.Table:
-        node, n, side = (group.column(c).to_numpy() for c in ("node", "n", "side"))
-        vectors = _vectors(group.column("vector").combine_chunks())
+    The cosine comes first; only pairs that link are asked for an earlier filter.
+    """
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    values = np.unique(lists.values.to_numpy(), return_inverse=True)[1].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+    end = np.repeat(first + size, size)
+    few = np.repeat(size <= FEW, size)
+    two = np.repeat(np.maximum.reduceat(side, first) == 1, size)  # two blocks of a crowded filter: pairs across them
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, int(size[size <= FEW].max(initial=0))):
+        a = np.flatnonzero(few & (np.arange(len(group)) + step < end))
+        a = a[~two[a] | (side[a] != side[a + step])]
+        a = a[np.einsum("ij,ij->i", unit[a], unit[a + step]) >= cosine]
+        left.append(a)
+        right.append(a + step)
+    a, b = np.concatenate(left), np.concatenate(right)
+    fresh = ~_met_before(offsets, values, a, b)
+    left, right = [a[fresh]], [b[fresh]]
+    for start, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        rows = slice(start, start + n)
+        mine, its = unit[rows], side[rows]
+        found = []
+        for at in range(0, n, 512):
+            near = mine[at : at + 512] @ mine.T >= cosine
+            if two[start]:
+                near &= its[at : at + 512, None] != its[None, :]
+            i, j = np.nonzero(near)
+            ahead = i + at < j
+            found.append((i[ahead] + at, j[ahead]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        some, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        fresh = ~_crowd_met(offsets, values, some + start, place[: len(a)], place[len(a) :]) if len(a) else np.zeros(0, bool)
+        left.append(a[fresh] + start)
+        right.append(b[fresh] + start)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _linked(cosine: float):
+    """Links inside the groups of a bucket: for each vector of a group how many others, and the one that names its component there."""
+
+    def inside(table: pa.Table, dimension: int) -> pa.Table:
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((label, table.column("group").to_numpy()))
+        table = table.take(pa.array(order)).combine_chunks()
+        name, label = table.column("group").to_numpy(), label[order]
+        group = np.cumsum(np.concatenate([[0], (name[1:] != name[:-1]) | (label[1:] != label[:-1])]))
+        node, n, side = (table.column(c).to_numpy() for c in ("node", "n", "side"))
+        vectors = table.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dimension)
         vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        two = bool((side == 1).any())
-        near = np.zeros((len(node), len(node)), bool)  # at most 2 * MEMBERS a side
-        for start in range(0, len(node), 512):
-            part = slice(start, start + 512)
-            near[part] = unit[part] @ unit.T >= cosine
-            near[part] &= node[part, None] < node[None, :]
-            if two:
-                near[part] &= side[part, None] != side[None, :]
-        # Only pairs that link are asked whether an earlier filter has them.
-        some = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
-        near, node, n = near[np.ix_(some, some)], node[some], n[some]
-        left, right = np.nonzero(near)
-        met = _met_before(group.column("before").combine_chunks(), some, left, right)
-        near[left[met], right[met]] = False
-        near |= near.T
-        links = np.zeros(len(node), np.int64)
-        least = np.arange(len(node))
-        for start in range(0, len(node), 512):
-            links[start : start + 512] = near[start : start + 512] @ n
-        while True:  # the smallest place each one reaches
-            step = least.copy()
-            for start in range(0, len(node), 512):
-                part = slice(start, start + 512)
-                reach = np.where(near[part], least[None, :], len(node)).min(axis=1, initial=len(node))
-                step[part] = np.minimum(step[part], reach)
-            step = step[step]
-            if (step == least).all():
+        lists = table.column("before").combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py()), lists.flatten())
+        left, right = _links(group, side, unit, lists, cosine)
+        links, least = np.zeros(len(node), np.int64), np.arange(len(node))
+        np.add.at(links, left, n[right])
+        np.add.at(links, right, n[left])
+        while True:  # the first row each one reaches
+            before = least.copy()
+            np.minimum.at(least, left, before[right])
+            np.minimum.at(least, right, before[left])
+            least = least[least]
+            if (least == before).all():
                 break
-            least = step
         kept = links > 0
         return pa.table({"node": node[kept], "least": node[least][kept], "links": links[kept]})
 
+    def run(_key: tuple, bucket: pa.Table) -> pa.Table:
+        size = bucket.column("d").to_numpy()
+        parts = [inside(bucket.filter(pa.array(size == d)), d) for d in np.unique(size).tolist()]
+        return pa.concat_tables(parts)
+
     return run
 
 
@@ -233,6 +287,7 @@ def near_vectors(
     placed = work.save(placed)
     size = placed.groupBy("label", "d", "filter").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = work.save(placed.join(size, ["label", "d", "filter"]))
+    buckets = max(1, -(-met.count() // BUCKET))
     # Of the filters a pair shares, the first one counts it.  A vector has a few hundred filters.
     lists = met.groupBy("node").agg(F.array_sort(F.collect_list("filter")).alias("filters"))
     blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
@@ -244,7 +299,10 @@ def near_vectors(
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "node", "n", "vector",
         F.filter("filters", lambda f: f < F.col("filter")).alias("before"),
     )
-    links = met.groupBy("label", "filter", "d", "lo", "hi").applyInArrow(_linked(cosine), "node bigint, least bigint, links bigint")
+    # Most filters have few members, so many of them go to one call; a crowded one is a block of bounded size.
+    met = met.withColumn("group", F.xxhash64("label", "filter", "d", "lo", "hi")).drop("filter", "lo", "hi")
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
+    links = met.groupBy("bucket").applyInArrow(_linked(cosine), "node bigint, least bigint, links bigint")
     links = work.save(links)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     label_of = components(links.select(F.col("node").alias("a"), F.col("least").alias("b")), work)

@@ -60,7 +60,7 @@ def reached(near):
         least = step
 
 
-@pytest.mark.parametrize("width", [1, 2, 3, 5, 7, 8, 12, 15, 16, 24, 32, 64, 256])
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 15, 16, 64, 256])
 def test_links_of_vectors_of_any_length(spark, width):
     """Links and components against all pairs; the pairs lie just inside and outside the least cosine."""
     r = np.random.RandomState(width)
