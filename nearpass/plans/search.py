@@ -31,8 +31,10 @@ def local_hits(approaches: DataFrame, query: str, n: int = MAX_HITS, escape: boo
 
 
 def catalogue_hit(orbits: DataFrame, query: str) -> DataFrame:
-    """The catalogue's one object of that designation, spk id or full name."""
+    """The catalogue's one object of that designation, spk id or full name; it is
+    called by its full name, else its short one if the catalogue has such a column, else as asked."""
     text = query.lower()
+    names = [F.nullif(F.col(c), F.lit("")) for c in ("fullname", "shortname") if c in orbits.columns]
     same = (F.lower("designation") == text) | (F.col("spkid") == query) | (F.lower("fullname") == text)
     return (
         orbits.filter(same)
@@ -40,7 +42,7 @@ def catalogue_hit(orbits: DataFrame, query: str) -> DataFrame:
         .limit(1)
         .select(
             F.coalesce("designation", F.lit("")).alias("asteroid_id"),
-            F.coalesce("fullname", F.lit(query)).alias("name"),
+            F.coalesce(*names, F.lit(query)).alias("name"),
             F.coalesce("is_pha", F.lit(False)).alias("is_potentially_hazardous"),
         )
     )

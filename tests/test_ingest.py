@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearpass.functions.hashing import record_hash
 from nearpass.operators import cascade, matching, resolve
-from nearpass.plans import metrics
+from nearpass.plans import metrics, search
 from nearpass.schemas import APPROACH
 from nearpass.sinks import publish
 from nearpass.sinks.changelog import KeyedTable
@@ -234,3 +234,10 @@ def test_sketches_of_years(spark):
     assert row.total_records == 3000 and abs(row.unique_asteroids - 700) < 35
     assert metrics.estimated_objects(merged, 2021, 2021).first().total_records == 1000
     assert metrics.estimated_objects(merged, 1900, 1901).first().unique_asteroids == 0
+
+
+def test_catalogue_hits_have_a_name(spark):
+    rows = [("d1", "s1", "Full One", "one"), ("d2", "s2", None, "two"), ("d3", "s3", "", None)]
+    orbits = spark.createDataFrame(rows, "designation STRING, spkid STRING, fullname STRING, shortname STRING").withColumn("is_pha", F.lit(None).cast("boolean"))
+    assert [search.catalogue_hit(orbits, q).first().name for q in ("D1", "s2", "s3")] == ["Full One", "two", "s3"]
+    assert search.catalogue_hit(orbits.drop("shortname"), "d2").first().name == "d2"
