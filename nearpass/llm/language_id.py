@@ -268,7 +268,7 @@ def languages_of(pages: DataFrame, docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are not rejected."""
     [name] = fresh(docs, "row_key")
-    own = F.xxhash64("doc_id", "text").alias(name)
-    judged = identify(document_evidence(docs), docs).filter("rejected").select(own).distinct()
-    rejected = Work(docs.sparkSession).save(judged)
-    return without(docs.select(*columns_of(docs), own), rejected, name).select(*columns_of(docs))
+    own = F.xxhash64("doc_id", "text")
+    judged = identify(document_evidence(docs).withColumn(name, own), docs)
+    rejected = Work(docs.sparkSession).save(judged.filter("rejected").select(name).distinct())
+    return without(docs.select(*columns_of(docs), own.alias(name)), rejected, name).select(*columns_of(docs))
