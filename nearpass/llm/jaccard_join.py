@@ -455,7 +455,8 @@ def jaccard_groups(
         nxt = nxt.unionByName(both.select("n", F.explode(between).alias("band")))
     counts = own.unionByName(nxt).groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).collect()
     bands = allocate(edges, {r.band: (r.c, r.s) for r in counts}, percent)
-    expected = sum(r.c * bands[r.band].segments + r.s * bands[r.band].deletions for r in counts) // 2
+    inside = [r for r in counts if r.band < len(bands)]  # larger sets there are none
+    expected = sum(r.c * bands[r.band].segments + r.s * bands[r.band].deletions for r in inside) // 2
     buckets = max(16, math.ceil(expected / BUCKET))
 
     packed = rows.select("text").mapInArrow(

@@ -149,7 +149,7 @@ def test_families_of_crowded_signatures(spark, monkeypatch):
 
 def test_spans_of_repeated_rows_count_once(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(700))
-    docs = spark.createDataFrame([(None, text)] * 30 + [(1, "z" * 40 + text[100:500])], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, text)] * 30 + [(1, "~" * 40 + text[100:500])], "doc_id long, text string")
     work = Work(spark)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     rows_out = suffix_dedup.remove_repeats(docs).collect()
