@@ -101,7 +101,7 @@ def first_containing(
         query,
         (body.rlike("[%_]") if wildcards else F.lit(False)).alias("wild"),
         (_literal_run(body) if wildcards else body).alias("lit"),
-        F.when(F.lit(wildcards), F.length(F.regexp_replace(body, "[^_]", ""))).otherwise(0).alias("letters"),
+        F.length(F.regexp_replace(body, "[^_]", "") if wildcards else F.col(query)).alias("letters"),
     )
     blank = every.filter(F.col("lit") == "")
     by_length = blank.join(first_of_length(texts, blank, text, "letters", order), "letters").select(query, "best")
