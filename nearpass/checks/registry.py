@@ -442,8 +442,10 @@ def feed_documents(spark, d):
 @query
 def feed_days(spark, d):
     """Feed documents of many days and many objects a day, as JSON text, back to messages."""
-    order = F.col("asteroid.close_approach_data")[0]["epoch_date_close_approach"]
-    messages = _approach_messages(spark, d).withColumn("document", F.floor(order / ROWS_PER_DOCUMENT))
+    order = F.col("epoch_date_close_approach").cast("double")
+    rows = bridge.approaches(spark, d).withColumn("document", F.floor(order / ROWS_PER_DOCUMENT))
+    # Flat rows are dealt out by document; lists by day and by document are then made where the rows are.
+    messages = feed.to_messages(rows.repartition("document"), ("document",))
     by_day = messages.groupBy("document", "date").agg(F.collect_list("asteroid").alias("objects"))
     by_document = by_day.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("date", "objects"))).alias("near_earth_objects"))
     texts = by_document.select(F.to_json(F.struct("near_earth_objects")).alias("value"))

@@ -189,8 +189,9 @@ def rejected_rows(checked: DataFrame, entity: Entity) -> DataFrame:
     return bad.select(F.lit(entity.name).alias("entity"), F.to_json(F.struct(*sent)).alias("row"), "faults")
 
 
-def to_messages(approaches: DataFrame) -> DataFrame:
-    """Flat approach rows back to messages, one per row: the publishing side."""
+def to_messages(approaches: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flat approach rows back to messages, one per row, with the columns in
+    `keep` in front: the publishing side."""
     def column(name: str, kind: str) -> Column:
         return F.col(name).cast(kind) if name in approaches.columns else F.lit(None).cast(kind)
 
@@ -223,4 +224,4 @@ def to_messages(approaches: DataFrame) -> DataFrame:
         F.struct(*ranges).alias("estimated_diameter"),
         F.array(one_pass).alias("close_approach_data"),
     )
-    return approaches.select(column("close_approach_date", "string").alias("date"), asteroid.alias("asteroid"))
+    return approaches.select(*keep, column("close_approach_date", "string").alias("date"), asteroid.alias("asteroid"))

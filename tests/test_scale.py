@@ -45,3 +45,12 @@ def test_published_files_are_compressed(spark, tmp_path):
     texts = spark.read.text(str(tmp_path / "text")).collect()
     assert sorted(r.value for r in texts) == sorted(r.value for r in keyed_rows.collect())
     assert spark.read.schema("key STRING, value STRING").json(str(tmp_path / "json")).count() == 2000
+
+
+def test_feed_days_shuffles_documents_once(spark, tmp_path):
+    found = registry.QUERIES["feed_days"](spark, tables(spark, tmp_path))
+    # The lists by day and by document need no shuffle of their own.
+    assert len(re.findall(r"Exchange hashpartitioning\(document", initial_plan(found)[1].split("Initial Plan")[-1])) == 1
+    rows = {(r.day, r.asteroid_id): (r.n_messages, r.miss_km) for r in found.collect()}
+    assert rows[(dt.date(1997, 3, 2), "1")] == (2, 40000.0) and rows[(dt.date(1997, 3, 3), "2")] == (2, 40000.0)
+    assert sum(n for n, _ in rows.values()) == 16 and len(rows) == 9
