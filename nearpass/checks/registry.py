@@ -1012,14 +1012,17 @@ def object_search_catalogue(spark, d):
 HASHED = ["close_approach_date", "asteroid_id", "orbiting_body", "epoch_date_close_approach"]
 
 
-def _stored(spark, d):
-    kept = keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True)).select(*HASHED, "src_line")
+def _kept(spark, d):
+    """One row per key, stored: the table and the batch both start from it."""
+    return materialise(keyed.dedupe_approaches(bridge.approaches(spark, d)).select(*HASHED, "src_line"))
+
+
+def _stored(kept):
     return kept.withColumn("row_hash", row_hash(HASHED))
 
 
-def _incoming(spark, d):
+def _incoming(kept):
     """The stored rows again: some under a new id, some with another body."""
-    kept = keyed.dedupe_approaches(bridge.approaches(spark, d, heavy=True)).select(*HASHED, "src_line")
     moved = kept.withColumns(
         {
             "asteroid_id": F.when(F.col("src_line") == 1, F.concat(F.lit("N"), "asteroid_id")).otherwise(F.col("asteroid_id")),
@@ -1031,15 +1034,16 @@ def _incoming(spark, d):
 
 @query
 def change_detection(spark, d):
-    # The batch is read twice, the stored table once.
-    found = changes.detect_changes(materialise(_incoming(spark, d)), _stored(spark, d), APPROACH.keys)
+    kept = _kept(spark, d)
+    found = changes.detect_changes(_incoming(kept), _stored(kept), APPROACH.keys)
     return found.select("close_approach_date", "asteroid_id", "orbiting_body", "change_type")
 
 
 @query
 def upsert_current(spark, d):
-    stored = materialise(_stored(spark, d))
-    found = changes.detect_changes(materialise(_incoming(spark, d)), stored, APPROACH.keys).drop("change_type")
+    kept = _kept(spark, d)
+    stored = _stored(kept)
+    found = changes.detect_changes(_incoming(kept), stored, APPROACH.keys).drop("change_type")
     table = changes.upsert(stored, materialise(found), APPROACH.keys)
     return table.select("close_approach_date", "asteroid_id", "orbiting_body")
 

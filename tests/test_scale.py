@@ -54,3 +54,13 @@ def test_feed_days_shuffles_documents_once(spark, tmp_path):
     rows = {(r.day, r.asteroid_id): (r.n_messages, r.miss_km) for r in found.collect()}
     assert rows[(dt.date(1997, 3, 2), "1")] == (2, 40000.0) and rows[(dt.date(1997, 3, 3), "2")] == (2, 40000.0)
     assert sum(n for n, _ in rows.values()) == 16 and len(rows) == 9
+
+
+def test_upsert_starts_from_one_computation(spark, tmp_path, monkeypatch):
+    calls, dedupe = [], keyed.dedupe_approaches
+    monkeypatch.setattr(keyed, "dedupe_approaches", lambda df: calls.append(1) or dedupe(df))
+    found = registry.QUERIES["upsert_current"](spark, tables(spark, tmp_path)).collect()
+    assert len(calls) == 1
+    # Nine keys; three of them come again under a new id, three with another body.
+    assert len(found) == 12 and sum(r.asteroid_id.startswith("N") for r in found) == 3
+    assert sum(r.orbiting_body == "Moon" for r in found) == 3
