@@ -64,3 +64,19 @@ def test_upsert_starts_from_one_computation(spark, tmp_path, monkeypatch):
     # Nine keys; three of them come again under a new id, three with another body.
     assert len(found) == 12 and sum(r.asteroid_id.startswith("N") for r in found) == 3
     assert sum(r.orbiting_body == "Moon" for r in found) == 3
+
+
+def test_indexes_are_not_broadcast(spark, tmp_path):
+    def stored(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    objects = spark.createDataFrame([("a", ["k1", "k2"])], "asteroid_id STRING, candidates ARRAY<STRING>")
+    records = stored(spark.createDataFrame([("k2", "x")], "key STRING, id STRING"), "records")
+    index = lookup.key_index(records, F.col("key"), F.struct("id"), ("id",), "c")
+    found = lookup.lookup_first(objects, index, {"c": (lambda c: c,)})
+    assert "Broadcast" not in initial_plan(found)[0] and found.first().c.ref.id == "x"
+    tries = spark.createDataFrame([("a", 0, "v")], "asteroid_id STRING, try_no INT, lookup_value STRING")
+    landed = spark.createDataFrame([("v", 200, True, 1)], "lookup_value STRING, http_status INT, has_document BOOLEAN, checked_at INT")
+    made = resolve.answered_tries(tries, stored(landed, "landed"))
+    assert "Broadcast" not in initial_plan(made)[0] and made.first().is_answer
