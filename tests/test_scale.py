@@ -99,3 +99,12 @@ def test_streams_free_their_shuffles(spark):
     raw = session.createDataFrame([], "value STRING, timestamp INT, partition INT, offset INT")
     approach_stream.process_batch(None)(raw, 0)
     assert session.conf.get(FREED) == "true" and spark.conf.get(FREED) != "true"
+
+
+def test_agency_tables_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    met = threading.Barrier(5)
+    monkeypatch.setattr(agency_stream, "store_part", lambda *_: met.wait(20))
+    tables = agency_stream.create_tables(spark, str(tmp_path))
+    raw = spark.newSession().createDataFrame([('{"asteroid_id": "a"}', 0, 0, 0)], "value STRING, timestamp INT, partition INT, offset INT")
+    agency_stream.process_batch(tables)(raw, 0)
+    assert met.n_waiting == 0 and not met.broken
