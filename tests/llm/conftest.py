@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 from nearpass.session import local_session
 
+# As in tests/conftest.py: in a run of the whole suite, this is the `conftest` that test_queries.py imports from.
+SMALL = "/root/testdata/sf0.001"
+
 
 def _alive(session) -> bool:
     try:
